@@ -52,7 +52,7 @@ def fold(events: DataFrame) -> DataFrame:
     # The last event that sets the text, and the texts from there on.
     found = found.withColumn("set_at", F.expr("coalesce(array_max(transform(log, (e, i) -> if(e.rank <= 2, i, 0))), 0)"))
     found = found.withColumn("last", F.expr("slice(log, set_at + 1, size(log))")).filter("not exists(last, e -> e.rank = 4)")
-    return found.select("conv_id", F.expr("log[0].seq").alias("seq"), "message", F.expr("coalesce(filter(log, e -> e.role is not null)[0].role, '')").alias("role"), F.expr("array_join(transform(last, e -> coalesce(e.text, '')), '')").alias("text"))
+    return found.select("conv_id", F.expr("log[0].seq").alias("seq"), "message", F.expr("coalesce(get(filter(log, e -> e.role is not null), 0).role, '')").alias("role"), F.expr("array_join(transform(last, e -> coalesce(e.text, '')), '')").alias("text"))
 
 
 def render(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, packing, sharding
+from . import chat, dac, licenses, packing, sharding, toxicity
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.tag(docs, crf).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(dac.token_file(table(spark, sf_dir, "documents")), dac.crc32_of, "ids_crc32 long")
 
@@ -45,8 +51,12 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_events, op5_packing, op7_token_codes, op9_hilbert_shards)}
+    return {f.__name__: f for f in (op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op9_hilbert_shards, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -96,12 +96,13 @@ class Words:
     def per_row(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.data)
+    def hashes(self, head: int | None = None) -> np.ndarray:
+        """A hash a word, or of its first ``head`` bytes; a word that is no longer keeps its own."""
+        n, end = len(self.data), self.end if head is None else np.minimum(self.end, self.start + head)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUES[self.data] * _power("up", _MULTIPLIER, n), out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _power("down", _INVERSE, n + 1)[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        raw = (total[end] - total[self.start]) * _power("down", _INVERSE, n + 1)[self.start]
+        return mix(raw + (end - self.start).astype(np.uint64))
 
 
 def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NOT_SPACE) -> Words:
