@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, licenses, packing, sharding, toxicity
+from . import chat, dac, licenses, minhash, packing, sharding, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(dac.token_file(table(spark, sf_dir, "documents")), dac.crc32_of, "ids_crc32 long")
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -56,7 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op9_hilbert_shards, op10_licenses)}
+    return {f.__name__: f for f in (op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op8_superminhash, op9_hilbert_shards, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
