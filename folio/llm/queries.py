@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, licenses, minhash, packing, sharding, toxicity
+from . import chat, dac, decontaminate, embed_dedup, licenses, minhash, packing, sharding, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.events_of_turns(chat.planted(table(spark, sf_dir, "conversations")))))
 
@@ -64,7 +68,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op8_superminhash, op9_hilbert_shards, op10_licenses)}
+    return {f.__name__: f for f in (op2_decontamination, op3_cross_polytope, op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op8_superminhash, op9_hilbert_shards, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
