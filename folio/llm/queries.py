@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, embed_dedup, licenses, minhash, packing, sharding, toxicity
+from . import chat, dac, decontaminate, embed_dedup, licenses, minhash, packing, sharding, suffix_tree, toxicity
 from .common import table
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return suffix_tree.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +73,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_cross_polytope, op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op8_superminhash, op9_hilbert_shards, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_decontamination, op3_cross_polytope, op4_chat_events, op5_packing, op6_toxic_crf, op7_token_codes, op8_superminhash, op9_hilbert_shards, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
