@@ -261,9 +261,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 SUSPECT, SPAN = 0.05, 0.5
 
 
-def tag(docs: DataFrame, crf: Crf) -> DataFrame:
+def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, score, expected (toxic tokens), spans (start, stop in code points, mean marginal).
 
+    With ``carry``, those columns of ``docs`` and _score instead: a row for each row, with no join.
     Null and empty texts have the lowest score and no spans; repeated rows are scored each; other columns are ignored.
     """
     small = Crf(crf.emit.astype(np.float32), crf.bias, crf.turn, crf.curve)
@@ -296,7 +297,17 @@ def tag(docs: DataFrame, crf: Crf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.score(expected)), pa.array(expected), pa.array(shown, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))], names=["doc_id", "score", "expected", "spans"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double, expected double, spans array<struct<start:bigint,stop:bigint,p:double>>")
+    if carry is None:
+        return narrow.mapInArrow(run, "doc_id long, score double, expected double, spans array<struct<start:bigint,stop:bigint,p:double>>")
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_text")], names=["doc_id", "text"])
+            p = pa.concat_arrays([x.column("score") for x in run(iter([texts]))]) if batch.num_rows else pa.array([], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), p], names=[*carry, "_score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    return docs.select(*carry, F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).mapInArrow(scores, f"{kinds}, _score double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
