@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import masking as M
 from ..functions import text as T
 from ..functions.rules import AXIS_TICK, RULES, STOPWORDS, TERM, WATERMARK, re2
-from ..operators import corpus, translate
+from ..operators import corpus, segments, translate
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -287,3 +287,20 @@ def translation_report(spark, sf_dir):
     found = translate.report(rows, "lang")
     return found.select("lang", "total", "translated", "failed", F.array_join(F.transform("failures", lambda f: f["seg_no"].cast("string")), ",").alias("failures"))
 
+
+
+@query()
+def page_segments(spark, sf_dir):
+    """Pages to Markdown to segments, counted by kind: the parser has no SQL."""
+    found = segments.segments(segments.blocks(segments.html_pages_to_markdown(_t(spark, sf_dir, "pages"), "page_id", "html")))
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("placeholders")).cast("long").alias("n_placeholders"), F.sum(F.length("source")).cast("long").alias("chars"))
+
+
+@query()
+def translated_pages(spark, sf_dir):
+    """Pages translated by a repeatable engine and rendered again."""
+    of = segments.blocks(segments.html_pages_to_markdown(_t(spark, sf_dir, "pages"), "page_id", "html"))
+    own = segments.segments(of)
+    done = translate.translate_many(own, translate.Reversing())
+    pages = segments.rendered(segments.apply(of, done))
+    return pages.select("doc_id", F.length("markdown").alias("markdown_chars"), F.length("html").alias("html_chars"), F.size(F.regexp_extract_all("html", F.lit("<bdi>"), F.lit(0))).alias("isolated"))
