@@ -6,7 +6,8 @@ A vector is stored in one bucket a table and also asks the next nearest ones (mu
 where one is stored and the other is stored or asks; each meeting's cosine is computed in double precision.
 
 A pair that meets more than once counts at its first meeting alone, which both vectors' codes tell, so counts
-of links add up without a list of pairs. Equal vectors are one class that counts as often as it occurs. Buckets
+of links add up without a list of pairs. Only (bucket, vector) pairs are shuffled to find buckets where vectors meet; the
+vectors themselves go to those alone. Equal vectors are one class that counts as often as it occurs. Buckets
 over BLOCK vectors are cut into blocks, and each pair of blocks is work of its own.
 """
 
@@ -20,14 +21,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnum as X
 from .common import written
 from .components import components
 
-#: Tables by hashes in a row. With PROBES buckets each, a pair at cosine 0.9 is missed about once in 1,000 (see the tests).
-TABLES = {1: 6, 2: 12, 3: 20, 4: 32}
-PROBES = 4
+#: Tables by hashes in a row. With PROBES buckets each, fewer than 1 of 100 pairs at cosine 0.9 are missed (see the tests), and ever fewer above it.
+TABLES = {1: 6, 2: 10, 3: 20, 4: 36, 5: 60}
+PROBES = 3
+#: Buckets for each vector: few enough meetings by chance, whatever the number of vectors.
+SPARSE = 16
 BLOCK = 1000
 SMALL = 48
 
@@ -105,13 +109,13 @@ def _vectors(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray,
     return x, begin[:-1], size, ok
 
 
-def describe(vectors: DataFrame) -> DataFrame:
-    """vec_id, class (a hash of dimension and numbers; null: links with nothing), dim, vec (doubles)."""
+def describe(vectors: DataFrame, kind: type = np.float64) -> DataFrame:
+    """vec_id, class (a hash of dimension and numbers; null: links with nothing), dim, vec (its numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, begin, size, ok = _vectors(batch, "embedding")
-            raw = [(x[b : b + n] + 0.0).tobytes() if k else None for b, n, k in zip(begin.tolist(), size.tolist(), ok.tolist(), strict=True)]
+            raw = [(x[b : b + n] + 0.0).astype(kind).tobytes() if k else None for b, n, k in zip(begin.tolist(), size.tolist(), ok.tolist(), strict=True)]
             name = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) if r else None for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(name, pa.int64()), pa.array(np.where(ok, size, 0), pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "class", "dim", "vec"])
 
@@ -119,34 +123,25 @@ def describe(vectors: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "vec_id long, class long, dim int, vec binary")
 
 
-HASHED = "key long, class long, id long, times long, dim int, table int, code long, codes binary, vec binary"
-
-
-def _hashed(classes: DataFrame, width: int, tables: int) -> DataFrame:
-    """A row for each bucket in which a class is stored or asks."""
+def _hashed(classes: DataFrame, width: int, tables: int, kind: type) -> DataFrame:
+    """``classes`` with codes: tables by PROBES buckets in a row, null where a probe repeats one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
                 dims = batch.column("dim").to_numpy(zero_copy_only=False)
                 for dim in np.unique(dims):
-                    own = pa.array(np.flatnonzero(dims == dim))
-                    part = batch.take(own)
-                    x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(part.num_rows, dim)
+                    part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    x = np.frombuffer(b"".join(part.column("vec").to_pylist()), kind).reshape(part.num_rows, dim).astype(np.float64)
                     c = codes(_unit(x), width, tables)
-                    packed = pa.array([r.tobytes() for r in c.astype(np.int64)], pa.binary())
-                    for t in range(tables):
-                        for p in range(PROBES):
-                            new = np.ones(len(c), bool) if not p else (c[:, t, p : p + 1] != c[:, t, :p]).all(axis=1)
-                            at = pa.array(np.flatnonzero(new))
-                            code = c[new, t, p]
-                            key = X.mix(X.mix(code.astype(np.uint64)) + np.uint64(t * 100_003 + int(dim) * 7))
-                            some = part.take(at)
-                            n = len(code)
-                            yield pa.RecordBatch.from_arrays([pa.array(X.signed(key)), some.column("class"), some.column("id"), some.column("times"), some.column("dim"), pa.array(np.full(n, t, np.int32)), pa.array(code), packed.take(at), some.column("vec")], names=["key", "class", "id", "times", "dim", "table", "code", "codes", "vec"])
+                    again = np.zeros(c.shape, dtype=bool)
+                    for p in range(1, PROBES):
+                        again[:, :, p] = (c[:, :, p : p + 1] == c[:, :, :p]).any(axis=2)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * tables * PROBES, pa.int32()), pa.array(c.reshape(-1), mask=again.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "codes"])
 
-    return classes.select("class", "id", "times", "dim", "vec").mapInArrow(run, HASHED)
+    return classes.select("class", "id", "times", "dim", "vec").mapInArrow(run, "class long, id long, times long, dim int, vec binary, codes array<long>")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -155,7 +150,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _links(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
+def _links(hashed: DataFrame, cosine: float, tables: int, kind: type) -> DataFrame:
     """By bucket and class: class, id, n (links counted there, as often as the other occurs), low (the smallest id of its links' component in the bucket)."""
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -165,8 +160,8 @@ def _links(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
             group = np.stack([part[c].to_numpy() for c in ("key", "i", "j", "table", "code")])
             new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])
             name, id_, times, block = (part[c].to_numpy() for c in ("class", "id", "times", "block"))
-            own = np.frombuffer(b"".join(part["codes"].to_pylist()), np.int64).reshape(len(name), tables, PROBES)
-            x = _unit(np.frombuffer(b"".join(part["vec"].to_pylist()), np.float64).reshape(len(name), dim))
+            own = pc.fill_null(pc.list_flatten(part["codes"].combine_chunks()), -1).to_numpy(zero_copy_only=False).reshape(len(name), tables, PROBES)
+            x = _unit(np.frombuffer(b"".join(part["vec"].to_pylist()), kind).reshape(len(name), dim).astype(np.float64))
             stored = own[np.arange(len(name)), group[3], 0] == group[4]
             begin = np.append(np.flatnonzero(new), len(name))
             size = np.diff(begin)
@@ -221,8 +216,11 @@ def _links(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
         if held is not None:
             yield from found(held)
 
-    large = rows.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
-    cut = rows.join(large, "key", "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    each = hashed.select("class", "dim", F.posexplode("codes").alias("pos", "code")).filter("code is not null").withColumn("table", F.expr(f"cast(pos div {PROBES} as int)"))
+    each = each.select("class", F.xxhash64("dim", "table", "code").alias("key"), "table", "code", (F.col("pos") % PROBES == 0).alias("stored"))
+    meet = each.groupBy("key").agg(F.count("*").alias("members"), F.max("stored").alias("any")).filter("members > 1 and any").select("key", "members")
+    live = written(each.select("key", "class", "table", "code").join(meet, "key"), "meetings")
+    cut = live.join(hashed, "class").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "id", "times", "dim", "table", "code", "codes", "vec", "block")
     return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "table", "code", "class").mapInArrow(run, "class long, id long, n long, low long")
@@ -235,12 +233,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int | None =
     vectors of different dimensions with each other. Repeated rows are vectors of their own and link. Rows
     without vec_id link with nothing and are kept. Other columns are ignored; an empty table gives no rows.
     """
-    every = written(describe(vectors.filter("vec_id is not null")), "vectors")
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+    every = written(describe(vectors.filter("vec_id is not null"), kind), "vectors")
     classes = written(every.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
     if width is None:
         n, dim = classes.agg(F.count("*"), F.max("dim")).first()
-        width = min(4, max(1, round(np.log(max(n, 2)) / np.log(2 * max(dim or 1, 2)))))
-    links = written(_links(_hashed(classes, width, TABLES[width]), cosine, TABLES[width]), "links")
+        width = min(max(TABLES), int(np.ceil(np.log(SPARSE * max(n, 1)) / np.log(2 * max(dim or 1, 2)))))
+    links = written(_links(written(_hashed(classes, width, TABLES[width], kind), "hashed"), cosine, TABLES[width], kind), "links")
     counts = links.groupBy("class").agg(F.sum("n").alias("n"))
     parts = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     of_class = classes.select("class", "id", "times").join(counts, "class", "left").join(parts, F.col("id") == F.col("node"), "left")

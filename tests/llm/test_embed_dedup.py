@@ -37,7 +37,7 @@ def test_pairs_at_the_limit_meet(width):
     assert met.mean() > 0.99
 
 
-@pytest.mark.parametrize(("block", "width"), [(1000, 1), (1000, 2), (7, 1)])
+@pytest.mark.parametrize(("block", "width"), [(1000, 2), (1000, 3), (7, 2)])
 def test_against_brute_force(spark, monkeypatch, block, width):
     monkeypatch.setattr(D, "BLOCK", block)
     r = np.random.default_rng(3)
