@@ -16,10 +16,20 @@ from ..functions.rules import AXIS_TICK, RULES, STOPWORDS, TERM, WATERMARK, re2
 from ..operators import corpus, segments, translate
 
 
+#: Bytes of a table below which its file may be one split, which would leave other cores idle.
+SMALL_TABLE = 64 << 20
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for what costs far more by row than a shuffle; a large one has splits enough and stays."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
+
+
 def _sql(text: str) -> str:
     """A Python string as an SQL literal."""
     return "'" + text.replace("'", "''") + "'"
@@ -49,12 +59,12 @@ masked AS (SELECT *, array_to_string(list_transform(parts, lambda p, i: p || CAS
 @query(_masked("doc_id", "text", "documents") + "SELECT doc_id, masked, len(lits) AS n_literals, array_to_string(lits, chr(31)) AS literals FROM masked")
 def mask_documents(spark, sf_dir):
     text = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", M.mask(text).alias("masked"), F.size(M.literals(text)).cast("long").alias("n_literals"), F.array_join(M.literals(text), "\x1f").alias("literals"))
+    return _spread(_t(spark, sf_dir, "documents")).select("doc_id", M.mask(text).alias("masked"), F.size(M.literals(text)).cast("long").alias("n_literals"), F.array_join(M.literals(text), "\x1f").alias("literals"))
 
 
 @query(_masked("page_id", "html", "pages") + "SELECT page_id, md5(masked) AS masked_md5, len(lits) AS n_literals FROM masked")
 def mask_pages(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.md5(M.mask(F.col("html")).cast("binary")).alias("masked_md5"), F.size(M.literals(F.col("html"))).cast("long").alias("n_literals"))
+    return _spread(_t(spark, sf_dir, "pages")).select("page_id", F.md5(M.mask(F.col("html")).cast("binary")).alias("masked_md5"), F.size(M.literals(F.col("html"))).cast("long").alias("n_literals"))
 
 
 _RULE = "CASE " + " ".join(f"WHEN regexp_full_match(lit, {_sql('(?s)' + r.plain)}) THEN '{r.name}'" for r in RULES) + " END"
@@ -62,7 +72,7 @@ _RULE = "CASE " + " ".join(f"WHEN regexp_full_match(lit, {_sql('(?s)' + r.plain)
 
 @query(f"WITH l AS (SELECT unnest(regexp_extract_all(text, {_sql(re2())})) AS lit FROM documents UNION ALL SELECT unnest(regexp_extract_all(html, {_sql(re2())})) FROM pages) SELECT {_RULE} AS rule, count(*) AS n, count(DISTINCT lit) AS n_distinct FROM l GROUP BY 1")
 def rule_counts(spark, sf_dir):
-    both = _t(spark, sf_dir, "documents").select("text").unionByName(_t(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    both = _spread(_t(spark, sf_dir, "documents").select("text")).unionByName(_spread(_t(spark, sf_dir, "pages").select(F.col("html").alias("text"))))
     lits = both.select(F.explode(M.literals(F.col("text"))).alias("lit"))
     # Distinct literals first: the rules are then tried once for each.
     return lits.groupBy("lit").agg(F.count("*").alias("k")).groupBy(M.rule_of(F.col("lit")).alias("rule")).agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct"))
@@ -76,7 +86,7 @@ SELECT doc_id, array_to_string(list_sort(list_filter(range(len(lits)), lambda i:
   array_to_string(list_sort(list_distinct(list_filter(ids, lambda i: i >= len(lits) OR len(list_filter(ids, lambda j: j = i)) > 1))), ',') AS unexpected FROM ids"""
 )
 def restore_checks(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", M.mask(F.col("text")).alias("masked"), M.literals(F.col("text")).alias("lits"))
+    docs = _spread(_t(spark, sf_dir, "documents")).select("doc_id", M.mask(F.col("text")).alias("masked"), M.literals(F.col("text")).alias("lits"))
     third = F.col("doc_id") % 3
     reply = F.when(third == 0, F.col("masked")).when(third == 1, F.concat(F.replace("masked", F.lit("{{v0}}"), F.lit("")), F.lit(" {{ v9999 }}"))).otherwise(F.concat("masked", F.lit(" {{v0}}")))
     docs = docs.withColumn("reply", reply)
@@ -86,12 +96,12 @@ def restore_checks(spark, sf_dir):
 @query("SELECT doc_id, md5(text) AS restored_md5 FROM documents")
 def restore_round_trip(spark, sf_dir):
     text = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(M.restore(M.mask(text), M.literals(text)).cast("binary")).alias("restored_md5"))
+    return _spread(_t(spark, sf_dir, "documents")).select("doc_id", F.md5(M.restore(M.mask(text), M.literals(text)).cast("binary")).alias("restored_md5"))
 
 
 @query(_masked("doc_id, line_no", "line", "(SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))") + r"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(body, '\p{L}')) AS with_letters, count(*) FILTER (NOT regexp_matches(regexp_replace(masked, '\{\{\s*[vV]?\s*(\d{1,4})\s*\}\}', '', 'g'), '\p{L}')) AS nothing_to_translate FROM masked GROUP BY doc_id")
 def translatable_lines(spark, sf_dir):
-    found = corpus.lines(_t(spark, sf_dir, "documents")).select("doc_id", "line", M.mask(F.col("line")).alias("masked"))
+    found = corpus.lines(_spread(_t(spark, sf_dir, "documents"))).select("doc_id", "line", M.mask(F.col("line")).alias("masked"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(M.has_letters(F.col("line"))).alias("with_letters"), F.count_if(M.only_protected(F.col("masked"))).alias("nothing_to_translate"))
 
 
@@ -103,12 +113,12 @@ places AS (SELECT * FROM terms WHERE term NOT IN ({", ".join(map(_sql, STOPWORDS
 
 @query(f"WITH {_PLACES} SELECT term, count(*) AS n FROM places GROUP BY term HAVING count(*) >= 4 ORDER BY n DESC, min((doc_id, place)) LIMIT 80")
 def glossary_terms(spark, sf_dir):
-    return corpus.terms(_t(spark, sf_dir, "documents"))
+    return corpus.terms(_spread(_t(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_PLACES} SELECT doc_id, term, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(place)) AS rank FROM places GROUP BY doc_id, term HAVING count(*) >= 2 QUALIFY rank <= 5")
 def glossary_by_document(spark, sf_dir):
-    return corpus.terms_by_document(_t(spark, sf_dir, "documents"), 2, 5).withColumn("rank", F.col("rank").cast("long"))
+    return corpus.terms_by_document(_spread(_t(spark, sf_dir, "documents")), 2, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 _LINES = "lines AS (SELECT source, doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line, len(l) AS n FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -140,7 +150,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(l, ''), '\s{2,}
 def joined_paragraphs(spark, sf_dir):
     parts = F.filter(F.split("text", r"\. ", -1), lambda p: p != "")
     marked = F.transform(parts, lambda p, i: F.when((i + 1) % 3 == 0, F.concat(p, F.lit("-"))).otherwise(p))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.join_lines(marked).cast("binary")).alias("paragraph_md5"))
+    return _spread(_t(spark, sf_dir, "documents")).select("doc_id", F.md5(T.join_lines(marked).cast("binary")).alias("paragraph_md5"))
 
 
 @query(f"WITH {_LINES} SELECT source, list_sort(list(length(line)))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM lines GROUP BY source")
@@ -205,7 +215,7 @@ def source_density(spark, sf_dir):
 length(regexp_replace(html, '[^\P{C}\n\t]', '', 'g')) AS visible, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM pages""")
 def page_cleanup(spark, sf_dir):
     html = F.col("html")
-    return _t(spark, sf_dir, "pages").select("page_id", F.md5(T.html_prepare(html).cast("binary")).alias("prepared_md5"), F.length(T.no_control(html)).cast("long").alias("visible"), F.md5(T.escape_html(html).cast("binary")).alias("escaped_md5"))
+    return _spread(_t(spark, sf_dir, "pages")).select("page_id", F.md5(T.html_prepare(html).cast("binary")).alias("prepared_md5"), F.length(T.no_control(html)).cast("long").alias("visible"), F.md5(T.escape_html(html).cast("binary")).alias("escaped_md5"))
 
 
 _IMAGES = "'See ![fig](' || CASE page_id % 4 WHEN 0 THEN url || '/a.png' WHEN 1 THEN '../deep/x' || page_id || '.png' WHEN 2 THEN 'b.jpg' ELSE 'data:image/png;base64,AA' END || ').'"
@@ -222,7 +232,7 @@ SELECT doc_id, CAST(part AS BIGINT) - min(CAST(part AS BIGINT)) OVER (PARTITION
 FROM (SELECT doc_id, part, min_by(line, i) AS first_line, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM part GROUP BY doc_id, part) WHERE body <> ''""")
 def chapter_parts(spark, sf_dir):
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.when(F.length(line).between(1, 40), F.concat(F.lit("# "), line)).otherwise(line))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", T.chapters(F.array_join(lines, "\n")).alias("parts"))
+    docs = _spread(_t(spark, sf_dir, "documents")).select("doc_id", T.chapters(F.array_join(lines, "\n")).alias("parts"))
     return docs.select("doc_id", F.posexplode("parts").alias("chapter", "p")).select("doc_id", F.col("chapter").cast("long").alias("chapter"), "p.title", F.length("p.markdown").cast("long").alias("chars"))
 
 
@@ -292,14 +302,14 @@ def translation_report(spark, sf_dir):
 @query()
 def page_segments(spark, sf_dir):
     """Pages to Markdown to segments, counted by kind: the parser has no SQL."""
-    found = segments.segments(segments.blocks(segments.html_pages_to_markdown(_t(spark, sf_dir, "pages"), "page_id", "html")))
+    found = segments.segments(segments.blocks(segments.html_pages_to_markdown(_spread(_t(spark, sf_dir, "pages")), "page_id", "html")))
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("placeholders")).cast("long").alias("n_placeholders"), F.sum(F.length("source")).cast("long").alias("chars"))
 
 
 @query()
 def translated_pages(spark, sf_dir):
     """Pages translated by a repeatable engine and rendered again."""
-    of = segments.blocks(segments.html_pages_to_markdown(_t(spark, sf_dir, "pages"), "page_id", "html"))
+    of = segments.blocks(segments.html_pages_to_markdown(_spread(_t(spark, sf_dir, "pages")), "page_id", "html"))
     own = segments.segments(of)
     done = translate.translate_many(own, translate.Reversing())
     pages = segments.rendered(segments.apply(of, done))
