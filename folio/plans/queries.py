@@ -26,7 +26,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _spread(df: DataFrame) -> DataFrame:
     """A small table dealt over all cores, for what costs far more by row than a shuffle; a large one has splits enough and stays."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
