@@ -7,7 +7,8 @@ holds a value below j + 1, as no later step can lower any: few steps for long te
 
 Bands of the signature make buckets. In a bucket each class is held against two pivots, the best of which is
 verified; links give components. Pairs of a bucket that are still in different components and whose
-signatures agree enough are then verified too, in blocks, so that a bucket of any size is spread out.
+signatures agree enough are then verified too, within blocks that hold whole sets: a bucket of any size is spread
+out, and no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -171,39 +172,61 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return both.filter(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket (key, i, j, n, id, component, sign) in different components whose sizes and signatures allow the similarity."""
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-        n, id_, comp, block = (t[c].to_numpy() for c in ("n", "id", "component", "block"))
-        i, j = group[1], group[2]
-        sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(len(n), SIZE) if len(n) else np.zeros((0, SIZE), np.uint8)
-        a, b = [], []
-        at, d = np.arange(max(len(n) - 1, 0)), 1
-        while len(at):
-            at = at[at + d < len(n)]
-            at = at[(group[:, at] == group[:, at + d]).all(axis=0)]
-            # n ascends within a group: beyond this ratio the sets cannot be similar enough.
-            at = at[100 * n[at] >= percent * n[at + d]]
-            own = at[(comp[at] != comp[at + d]) & ((i[at] == j[at]) | (block[at] != block[at + d]))]
-            own = own[_agree(sign[own], sign[own + d]) >= AGREE]
-            a.append(np.minimum(id_[own], id_[own + d])), b.append(np.maximum(id_[own], id_[own + d]))
-            d += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], names=["a", "b"])
+def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket: members are key, band, members, id, n, component, sign, shingles.
+
+    Pairs are never rows: each is held against whole sets where it first meets, if sizes and signatures allow the
+    similarity and nothing found so far has joined its components. What comes out is at most a forest of each task's components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
+            band, n, id_, comp, block = (t[c].to_numpy() for c in ("band", "n", "id", "component", "block"))
+            i, j = group[1], group[2]
+            sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(len(n), SIZE)
+            lists = t["shingles"].combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            values, at_ = lists.values.to_numpy(), lists.offsets.to_numpy()
+            out: list[tuple[int, int]] = []
+            at, d = np.arange(max(len(n) - 1, 0)), 1
+            while len(at):
+                at = at[at + d < len(n)]
+                at = at[(group[:, at] == group[:, at + d]).all(axis=0)]
+                # n ascends within a group: beyond this ratio the sets cannot be similar enough.
+                at = at[100 * n[at] >= percent * n[at + d]]
+                own = at[(comp[at] != comp[at + d]) & ((i[at] == j[at]) | (block[at] != block[at + d]))]
+                same = sign[own] == sign[own + d]
+                first = same.reshape(len(own), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                own = own[(same.sum(axis=1) >= AGREE) & (first == band[own])]
+                for k in own.tolist():
+                    x, y = root(int(comp[k])), root(int(comp[k + d]))
+                    if x != y:
+                        u, v = values[at_[k] : at_[k + 1]], values[at_[k + d] : at_[k + d + 1]]
+                        common = len(u) + len(v) - len(np.union1d(u, v))
+                        if 100 * common >= percent * (len(u) + len(v) - common):
+                            parent[max(x, y)] = min(x, y)
+                            out.append((int(id_[k]), int(id_[k + d])))
+                d += 1
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
-            last = [t[c][-1].as_py() for c in ("key", "i", "j")] if len(t) else None
-            if last is None:
-                continue
-            same = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(("key", "i", "j"), last, strict=True)])
+            same = np.logical_and.reduce([t[c].to_numpy() == t[c][-1].as_py() for c in ("key", "i", "j")])
             cut = int(np.argmax(same))
             if cut:
-                yield found(t.slice(0, cut))
+                yield found(t.slice(0, cut).combine_chunks())
             held = t.slice(cut).combine_chunks()
         if held is not None:
             yield found(held)
@@ -211,8 +234,8 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     # A bucket of many members is cut in blocks, and each pair of blocks is a task's work of its own.
     cut = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "id", "component", "block", "sign")
-    return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "n", "id", "component", "block", "sign", "shingles")
+    return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -225,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     every = written(describe(docs), "minhash")
     known = every.filter("n > 0 and doc_id is not null")
     classes = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "classes")
-    rows = classes.select("id", F.explode("bands").alias("key"))
+    rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("p"), F.max("id").alias("q")).filter("members > 1")
     members = written(rows.join(buckets, "key"), "buckets")
     signs = classes.select("id", "n", "sign")
@@ -241,10 +264,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     own = shared.join(classes.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b")
     links = written(links.unionByName(twice).unionByName(own), "links")
     first = written(components(links), "components")
-    labelled = members.select("key", "id", "members").join(first, F.col("id") == F.col("node"), "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+    labelled = members.select("key", "band", "id", "members").join(first, F.col("id") == F.col("node"), "left").select("key", "band", "id", "members", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    more = _pairs_in_blocks(labelled.join(mixed, "key").join(signs, "id"), percent)
-    links = links.unionByName(verified(docs, written(more, "pairs"), percent))
+    open_ = written(labelled.join(mixed, "key"), "open")
+    ids = open_.select(F.col("id").alias("doc_id")).distinct()
+    whole = sets(docs.join(ids, "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "shingles")
+    links = links.unionByName(written(_links_in_blocks(open_.join(signs, "id").join(whole, "id"), percent), "links"))
     final = written(components(links), "components")
     of_class = classes.select("f1", "f2", "n", "id").join(final, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = every.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
