@@ -172,8 +172,67 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return both.filter(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a bucket: members are key, band, members, id, n, component, sign, shingles.
+def _blocks(members: DataFrame) -> DataFrame:
+    """A bucket of many members is cut in blocks, and each pair of blocks (i, j) is a task's work of its own."""
+    cut = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other", "members")
+
+
+def _candidates(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows k, and d, of pairs (k, k + d) in one block that may be links and first meet here. ``t``: whole blocks, n ascending in each."""
+    group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
+    band, n, comp, block = (t[c].to_numpy() for c in ("band", "n", "component", "block"))
+    sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(len(n), SIZE)
+    at, d = np.arange(max(len(n) - 1, 0)), 1
+    while len(at):
+        at = at[at + d < len(n)]
+        at = at[(group[:, at] == group[:, at + d]).all(axis=0)]
+        # Beyond this ratio of sizes the sets cannot be similar enough.
+        at = at[100 * n[at] >= percent * n[at + d]]
+        own = at[(comp[at] != comp[at + d]) & ((group[1][at] == group[2][at]) | (block[at] != block[at + d]))]
+        same = sign[own] == sign[own + d]
+        first = same.reshape(len(own), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        yield own[(same.sum(axis=1) >= AGREE) & (first == band[own])], d
+        d += 1
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole blocks."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        same = np.logical_and.reduce([t[c].to_numpy() == t[c][-1].as_py() for c in ("key", "i", "j")])
+        cut = int(np.argmax(same))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def _sorted(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
+
+
+def _in_question(blocks: DataFrame, percent: int) -> DataFrame:
+    """Of all members of blocks, those of a pair that may be a link (key, i, j, id): only they need their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_block(batches):
+            wanted = np.zeros(len(t), dtype=bool)
+            for own, d in _candidates(t, percent):
+                wanted[own] = wanted[own + d] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[wanted]) for c in ("key", "i", "j", "id")], names=["key", "i", "j", "id"])
+
+    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign")).mapInArrow(run, "key long, i long, j long, id long")
+
+
+def _links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a block: key, i, j, band, n, id, component, block, sign, shingles.
 
     Pairs are never rows: each is held against whole sets where it first meets, if sizes and signatures allow the
     similarity and nothing found so far has joined its components. What comes out is at most a forest of each task's components.
@@ -187,55 +246,24 @@ def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
                 parent[x] = x = parent.get(up, up)
             return x
 
-        def found(t: pa.Table) -> pa.RecordBatch:
-            group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-            band, n, id_, comp, block = (t[c].to_numpy() for c in ("band", "n", "id", "component", "block"))
-            i, j = group[1], group[2]
-            sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(len(n), SIZE)
+        for t in _by_block(batches):
+            id_, comp = t["id"].to_numpy(), t["component"].to_numpy()
             lists = t["shingles"].combine_chunks()
             lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-            values, at_ = lists.values.to_numpy(), lists.offsets.to_numpy()
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             out: list[tuple[int, int]] = []
-            at, d = np.arange(max(len(n) - 1, 0)), 1
-            while len(at):
-                at = at[at + d < len(n)]
-                at = at[(group[:, at] == group[:, at + d]).all(axis=0)]
-                # n ascends within a group: beyond this ratio the sets cannot be similar enough.
-                at = at[100 * n[at] >= percent * n[at + d]]
-                own = at[(comp[at] != comp[at + d]) & ((i[at] == j[at]) | (block[at] != block[at + d]))]
-                same = sign[own] == sign[own + d]
-                first = same.reshape(len(own), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                own = own[(same.sum(axis=1) >= AGREE) & (first == band[own])]
+            for own, d in _candidates(t, percent):
                 for k in own.tolist():
                     x, y = root(int(comp[k])), root(int(comp[k + d]))
                     if x != y:
-                        u, v = values[at_[k] : at_[k + 1]], values[at_[k + d] : at_[k + d + 1]]
+                        u, v = values[at[k] : at[k + 1]], values[at[k + d] : at[k + d + 1]]
                         common = len(u) + len(v) - len(np.union1d(u, v))
                         if 100 * common >= percent * (len(u) + len(v) - common):
                             parent[max(x, y)] = min(x, y)
                             out.append((int(id_[k]), int(id_[k + d])))
-                d += 1
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            same = np.logical_and.reduce([t[c].to_numpy() == t[c][-1].as_py() for c in ("key", "i", "j")])
-            cut = int(np.argmax(same))
-            if cut:
-                yield found(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut).combine_chunks()
-        if held is not None:
-            yield found(held)
-
-    # A bucket of many members is cut in blocks, and each pair of blocks is a task's work of its own.
-    cut = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "n", "id", "component", "block", "sign", "shingles")
-    return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id").mapInArrow(run, "a long, b long")
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign", "shingles")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -267,9 +295,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labelled = members.select("key", "band", "id", "members").join(first, F.col("id") == F.col("node"), "left").select("key", "band", "id", "members", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = written(labelled.join(mixed, "key"), "open")
-    ids = open_.select(F.col("id").alias("doc_id")).distinct()
-    whole = sets(docs.join(ids, "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "shingles")
-    links = links.unionByName(written(_links_in_blocks(open_.join(signs, "id").join(whole, "id"), percent), "links"))
+    blocks = _blocks(open_.join(signs, "id"))
+    asked = written(_in_question(blocks, percent), "asked")
+    whole = sets(docs.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "shingles")
+    links = links.unionByName(written(_links_in_blocks(blocks.join(asked, ["key", "i", "j", "id"], "left_semi").join(whole, "id"), percent), "links"))
     final = written(components(links), "components")
     of_class = classes.select("f1", "f2", "n", "id").join(final, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = every.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
