@@ -19,7 +19,7 @@ CUTS = {"byte_level": re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_
 #: Longer cuts are encoded anew each time.
 LONGEST_KEPT = 48
 #: Cuts remembered by one Python worker, about 150 bytes each.
-MOST_KEPT = 1_000_000
+MOST_KEPT = 600_000
 
 
 class Encoder:
