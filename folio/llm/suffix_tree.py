@@ -29,7 +29,7 @@ DIVERGENCE = 2.0
 #: Rows of the tree that executors hold as arrays, 16 bytes each; a larger one is joined instead.
 MOST_ROWS = 8_000_000
 #: Frequent words that executors hold; all others are joined.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 _SPACE, _END = 0x20, 0x0A
 _HELD = 3_000_000
 
@@ -144,11 +144,11 @@ def tree(gram_counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGE
 
 
 class Tree:
-    """The tree as arrays."""
+    """The tree as arrays; ``value`` has a 0 behind the last, for what is not found."""
 
-    def __init__(self, level: np.ndarray, key: np.ndarray, value: np.ndarray, total: int, depth: int):
+    def __init__(self, tagged: np.ndarray, value: np.ndarray, total: int, depth: int):
         self.depth, self.unseen = depth, -np.log10(total + 256)
-        self.lookup, self.value = X.Lookup(self._tag(level, key)), np.append(value, 0)  # at -1: nothing
+        self.lookup, self.value = X.Lookup(tagged.view(np.uint64)), value
 
     @staticmethod
     def _tag(level, key: np.ndarray) -> np.ndarray:
@@ -186,6 +186,27 @@ def _pairs(name: str, row: np.ndarray, key: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.StructArray.from_arrays([pa.array(X.signed(key[new])), pa.array(n.astype(np.int64))], names=[name, "n"]))
 
 
+def _packed(rows: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All of a (long, number) table as two arrays. Executors pack them, so that the driver holds these bytes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i8").tobytes()], pa.binary()), pa.array([b.astype(kind).tobytes()], pa.binary())], names=["a", "b"])
+
+    found = rows.mapInArrow(run, "a binary, b binary").collect()
+    return np.frombuffer(b"".join(r.a for r in found), "<i8"), np.frombuffer(b"".join(r.b for r in found), kind)
+
+
+def _with_zero(tagged: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tagged, np.append(value, value.dtype.type(0))
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """A tree's rows as (level in the top byte and key, value)."""
+    return rows.select(F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.col("key")).alias("tagged"), F.col("value").cast("float"))
+
+
 def _joined_scores(codes: DataFrame, rows: DataFrame, total: int, depth: int) -> DataFrame:
     """gram, p of distinct ``codes`` by joins with the tree, where it is too large for arrays."""
     out = codes.withColumn("p", F.lit(0.0)).withColumn("open", F.lit(True))
@@ -225,11 +246,9 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
         if sum_ > most_words:
             break
         least = r.c
-    frequent = words.filter(F.col("c") >= least).toPandas() if least is not None else words.limit(0).toPandas()  # most_words rows at most
+    frequent = _packed(words.filter(F.col("c") >= (least if least is not None else 1 << 62)), "<i8")  # most_words rows at most
     whole = size <= most_rows
-    held = rows.toPandas() if whole else None  # most_rows rows at most
-    ctx = spark.sparkContext
-    shared = ctx.broadcast((frequent.word.to_numpy(np.int64).view(np.uint64), frequent.c.to_numpy(np.int64), *((held.level.to_numpy(np.uint8), held.key.to_numpy(np.int64), held.value.to_numpy(np.float32)) if whole else ())))
+    shared = spark.sparkContext.broadcast((frequent[0].view(np.uint64), frequent[1], *(_with_zero(*_packed(tagged(rows), "<f4")) if whole else ())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, c, *own_tree = shared.value

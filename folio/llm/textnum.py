@@ -145,16 +145,18 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         keys = np.asarray(keys, dtype=np.uint64)
-        bits = max(4, int(2 * max(len(keys), 1) - 1).bit_length() + 1)
+        bits = max(4, (len(keys) * 8 // 5).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slot = np.full(1 << bits, -1, dtype=np.int32)
         self.keys = keys
-        todo, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(todo):
-            free = self.slot[at] < 0
-            self.slot[at[free]] = todo[free]  # the last of several at one slot stays
-            lost = self.slot[at] != todo
-            todo, at = todo[lost], (at[lost] + 1) & self.mask
+        for a in range(0, len(keys), 250_000):  # so that building takes little more than the table
+            todo = np.arange(a, min(a + 250_000, len(keys)), dtype=np.int32)
+            at = self._home(keys[todo])
+            while len(todo):
+                free = self.slot[at] < 0
+                self.slot[at[free]] = todo[free]  # the last of several at one slot stays
+                lost = self.slot[at] != todo
+                todo, at = todo[lost], (at[lost] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MULTIPLIER) >> self.shift).astype(np.int64)

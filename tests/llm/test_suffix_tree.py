@@ -89,9 +89,9 @@ def test_probabilities_of_a_context_sum_to_one(spark):
 
     df = spark.createDataFrame(corpus(60), "doc_id long, text string")
     counted = S.counts(df, 3)
-    rows = S.tree(counted.filter("kind = 0"), 3, 1.0).toPandas()
+    rows = S.tagged(S.tree(counted.filter("kind = 0"), 3, 1.0)).toPandas()
     total = counted.filter("kind = 0").toPandas().n.sum()
-    tree = S.Tree(rows.level.to_numpy(np.uint8), rows.key.to_numpy(np.int64), rows.value.to_numpy(np.float64), total, 3)
+    tree = S.Tree(rows.tagged.to_numpy(np.int64), np.append(rows.value.to_numpy(np.float64), 0), total, 3)
     for ctx in (b"\n\n\n", b" ba", b"zzz", b"ko "):
         code = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.uint64)
         assert (10 ** tree.score(code)).sum() == pytest.approx(1, abs=1e-6)
