@@ -264,7 +264,7 @@ SUSPECT, SPAN = 0.05, 0.5
 def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, score, expected (toxic tokens), spans (start, stop in code points, mean marginal).
 
-    With ``carry``, those columns of ``docs`` and _score instead: a row for each row, with no join.
+    With ``carry``, those columns of ``docs``, text among them, and _score instead: a row for each row, with no join.
     Null and empty texts have the lowest score and no spans; repeated rows are scored each; other columns are ignored.
     """
     small = Crf(crf.emit.astype(np.float32), crf.bias, crf.turn, crf.curve)
@@ -272,7 +272,7 @@ def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(model.value)
-        for batch, data, at in X.pieces(batches, limit=12 << 20):
+        for batch, data, at in X.pieces(batches, limit=2 << 20):
             w = X.words(data, at, X.ALNUM)
             p = marginals(own.emissions(features(w, units(w))), w.first, own.turn) if len(w.start) else np.zeros(0)
             odd = np.flatnonzero(p >= SUSPECT)
@@ -301,13 +301,15 @@ def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
         return narrow.mapInArrow(run, "doc_id long, score double, expected double, spans array<struct<start:bigint,stop:bigint,p:double>>")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_text")], names=["doc_id", "text"])
-            p = pa.concat_arrays([x.column("score") for x in run(iter([texts]))]) if batch.num_rows else pa.array([], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), p], names=[*carry, "_score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
+                p = pa.concat_arrays([x.column("score") for x in run(iter([texts]))])
+                yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*carry, "_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).mapInArrow(scores, f"{kinds}, _score double")
+    return docs.select(*carry).mapInArrow(scores, f"{kinds}, _score double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
