@@ -1,6 +1,6 @@
 """Benchmark items in documents, within an edit budget, by the pigeonhole rule.
 
-Symbols are words (digits, letters and everything beyond ASCII, lower-cased). An item of m words may have k = m *
+Symbols are words (digits, letters and everything beyond ASCII) whose case is folded by Unicode. An item of m words may have k = m *
 rate edits, rounded down: k errors leave one of k + 1 pieces intact, so each document that holds the item
 holds a piece word for word. Pieces are found by hash; around each hit, the item is aligned with Myers'
 bit-parallel algorithm (1999), free to begin and end anywhere in the stretch.
@@ -27,6 +27,24 @@ def budget(words: int, rate: float = RATE) -> int:
     return int(words * rate)
 
 
+def folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat()`` of texts without their case. To upper case first, as it joins letters that folding alone keeps apart (i without a dot).
+
+    Letters become letters, so words stay where they are. Bytes that are not UTF-8 stay as they are.
+    """
+    if not len(data) or int(data.max()) < 128:
+        return data, at  # A to Z is left to ``words``
+    raw = data.tobytes()
+    rows = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    rows = [x if x.isascii() else x.decode("utf-8", "surrogateescape").upper().casefold().encode("utf-8", "surrogateescape") for x in rows]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+
+
+def item_words(text: str) -> np.ndarray:
+    """Hashes of an item's words."""
+    return X.words(*folded(*X.flat(pa.array([text], pa.string()))), X.ALNUM).hashes()
+
+
 def _chain(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     code = np.zeros(len(at), dtype=np.uint64)
     for j in range(size):
@@ -122,7 +140,7 @@ def _blocks(benchmark: DataFrame, rate: float) -> Iterator[Items]:
     """Streams the items; one block at a time is on the driver."""
     ids, words, total = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        own = X.hash_words(r.text or "", X.ALNUM)
+        own = item_words(r.text or "")
         if not len(own):
             continue
         ids.append(r.item_id), words.append(own)
@@ -141,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """Pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) rows: doc_id, item_id, distance, item_words, stop_word.
 
     A row for each pair of ids within the budget, with the smallest distance and the word (from 0) behind the item's first such end.
-    Null and empty texts, and items without words, match nothing; rows that share an id count as one; other
+    Case does not count, in any script. Null and empty texts, and items without words, match nothing; rows that share an id count as one; other
     columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -153,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value, rate)
             for batch, data, at in X.pieces(batches):
-                w = X.words(data, at, X.ALNUM)
+                w = X.words(*folded(data, at), X.ALNUM)
                 h, doc, rows = w.hashes(), batch.column("doc_id").to_pylist(), []
                 for (r, t), begins in items.hits(h, w.row).items():
                     if found := items.best(t, begins, h, int(w.first[r]), int(w.first[r + 1])):

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folio.llm import decontaminate as D
+from folio.llm import textnum as X
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -81,3 +84,29 @@ def test_against_all_pairs(spark, monkeypatch):
 def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.matches(docs, bench).count() == 0 and D.clean(docs, bench).count() == 1
+
+
+def test_case_of_any_script(spark):
+    item = "Évaluer où l'été à Besançon brûlait, très près d'une forêt: größere Straße, ядро, ΟΔΟΣ, ılık İzmir"
+    docs = [(1, "x " * 9 + item.upper()), (2, item.lower() + " y"), (3, item), (4, "x y z"), (5, item.swapcase())]
+    bench = spark.createDataFrame([(7, item), (8, item.upper())], "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in D.matches(docs, bench).collect()}
+    assert got == {(d, t): 0 for d in (1, 2, 3, 5) for t in (7, 8)}
+    assert [x.doc_id for x in D.clean(docs, bench).collect()] == [4]
+
+
+def test_folding_keeps_words_in_place():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+    def own(texts):
+        data, at = D.folded(*X.flat(pa.array(texts)))
+        w = X.words(data, at, X.ALNUM)
+        raw = w.data.tobytes()
+        return w.per_row.tolist(), [raw[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+    n, plain_ = own(every)
+    assert n == [len(words(c)) for c in every]
+    assert plain_ == own([c.upper() for c in every])[1] == own([c.lower() for c in every])[1]
+    raw = np.frombuffer(b"\xff\xc3\x89 A", np.uint8)
+    assert D.folded(raw, np.array([0, 5]))[0].tobytes() == b"\xff\xc3\xa9 a"
