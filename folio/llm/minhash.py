@@ -172,6 +172,20 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return both.filter(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _earlier(members: DataFrame) -> DataFrame:
+    """``members`` with the keys of the bands before theirs, in place of all: what they tell is where a pair met before."""
+    return members.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    """Keys of earlier bands: rows by BANDS, 0 beyond a row's own."""
+    lists = t["earlier"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    out = np.zeros((len(lists), BANDS), dtype=np.int64)
+    out[np.arange(BANDS) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """A bucket of many members is cut in blocks, and each pair of blocks (i, j) is a task's work of its own."""
     cut = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -184,6 +198,7 @@ def _candidates(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int]]:
     group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
     band, n, comp, block = (t[c].to_numpy() for c in ("band", "n", "component", "block"))
     sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(len(n), SIZE)
+    earlier = _matrix(t)
     at, d = np.arange(max(len(n) - 1, 0)), 1
     while len(at):
         at = at[at + d < len(n)]
@@ -191,9 +206,10 @@ def _candidates(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int]]:
         # Beyond this ratio of sizes the sets cannot be similar enough.
         at = at[100 * n[at] >= percent * n[at + d]]
         own = at[(comp[at] != comp[at + d]) & ((group[1][at] == group[2][at]) | (block[at] != block[at + d]))]
-        same = sign[own] == sign[own + d]
-        first = same.reshape(len(own), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        yield own[(same.sum(axis=1) >= AGREE) & (first == band[own])], d
+        own = own[_agree(sign[own], sign[own + d]) >= AGREE]
+        # By whole keys: signatures' low bytes may agree in a band whose bucket the two do not share.
+        met = (earlier[own] == earlier[own + d]) & (np.arange(BANDS) < band[own][:, None])
+        yield own[~met.any(axis=1)], d
         d += 1
 
 
@@ -228,11 +244,11 @@ def _in_question(blocks: DataFrame, percent: int) -> DataFrame:
                 wanted[own] = wanted[own + d] = True
             yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[wanted]) for c in ("key", "i", "j", "id")], names=["key", "i", "j", "id"])
 
-    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign")).mapInArrow(run, "key long, i long, j long, id long")
+    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign", "earlier")).mapInArrow(run, "key long, i long, j long, id long")
 
 
 def _links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a block: key, i, j, band, n, id, component, block, sign, shingles.
+    """Links (a, b) between different components of a block: key, i, j, band, n, id, component, block, sign, earlier, shingles.
 
     Pairs are never rows: each is held against whole sets where it first meets, if sizes and signatures allow the
     similarity and nothing found so far has joined its components. What comes out is at most a forest of each task's components.
@@ -263,7 +279,7 @@ def _links_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                             out.append((int(id_[k]), int(id_[k + d])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign", "shingles")).mapInArrow(run, "a long, b long")
+    return _sorted(blocks.select("key", "i", "j", "band", "n", "id", "component", "block", "sign", "earlier", "shingles")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -295,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labelled = members.select("key", "band", "id", "members").join(first, F.col("id") == F.col("node"), "left").select("key", "band", "id", "members", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = written(labelled.join(mixed, "key"), "open")
-    blocks = _blocks(open_.join(signs, "id"))
+    blocks = _blocks(_earlier(open_.join(classes.select("id", "n", "sign", "bands"), "id")))
     asked = written(_in_question(blocks, percent), "asked")
     whole = sets(docs.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "shingles")
     links = links.unionByName(written(_links_in_blocks(blocks.join(asked, ["key", "i", "j", "id"], "left_semi").join(whole, "id"), percent), "links"))

@@ -96,6 +96,29 @@ def test_components_against_all_pairs(spark, monkeypatch, block):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got.values())
 
 
+def test_pairs_meet_by_whole_keys(spark):
+    """Low bytes that agree in a band are no meeting: such a pair is verified where its whole keys first agree."""
+    r = np.random.default_rng(5)
+    a = r.integers(0, 1 << 24, minhash.SIZE).astype(np.uint32)
+    b, c = a.copy(), a.copy()
+    b[3] += 256  # band 0: low bytes agree, values do not
+    b[3 * minhash.ROWS :: 7] += 1
+    c[5 * minhash.ROWS :: 9] += 1
+    keys, rows = X.signed(minhash.bands(np.stack([a, b, c]))), []
+    for band in range(minhash.BANDS):
+        for k in range(3):
+            sets = [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6]]
+            rows.append((int(keys[k, band]), band, 7 + k, 8 - k, 7 + k, int((keys[:, band] == keys[k, band]).sum()), [a, b, c][k].astype(np.uint8).tobytes(), keys[k].tolist(), sets[k]))
+    members = spark.createDataFrame(rows, "key long, band int, id long, n long, component long, members long, sign binary, bands array<long>, shingles array<long>").filter("members > 1")
+    blocks = minhash._blocks(minhash._earlier(members))
+    met = {x for p, q in ((0, 1), (0, 2), (1, 2)) for x in [int((keys[p] == keys[q]).argmax())]}
+    assert met == {0, 1}
+    asked = {(x.key, x.id) for x in minhash._in_question(blocks, 75).collect()}
+    assert asked == {(int(keys[0, 0]), 7), (int(keys[0, 0]), 9), (int(keys[0, 1]), 7), (int(keys[0, 1]), 8), (int(keys[0, 1]), 9)}
+    alone = blocks.filter("id <> 9")
+    assert [sorted((x.a, x.b)) for x in minhash._links_in_blocks(alone, 75).distinct().collect()] == [[7, 8]]
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (3, "z " * 9), (5, "z " * 9), (9, text)], "doc_id long, text string")
