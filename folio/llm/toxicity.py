@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field (CRF) of two tags.
 
-Labels are of documents, so tokens are labelled first: a word or stem is toxic that stands in many toxic texts,
-hardly ever in others, and between ever other neighbours. The last keeps out what only copies of one text
+Labels are of documents, so tokens are labelled first: a word or stem is toxic that stands in more toxic texts
+than chance would put it in, hardly ever in others, and between ever other neighbours. The last keeps out what only copies of one text
 share. Its places in toxic texts are tagged 1, all else 0. The CRF learns from windows of these tokens, by
 features of each word, its stems and both neighbours, and from the tag before. Forward and backward messages give each
 token's marginal. A text's sum of marginals, that is its expected number of toxic tokens, gives its score by
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textnum as X
@@ -40,8 +40,10 @@ class Bounds:
     toxic_windows: int = 12000
     clean_windows: int = 12000
     candidates: int = 200000
-    #: Of the toxic texts, how many a word must stand in to be taken for toxic: fewer may be mislabelled texts.
-    least_share: float = 0.02
+    #: How many toxic texts a word must stand in to be taken for toxic, however many there are: a rare language has few.
+    least_texts: int = 3
+    #: Of the words taken for toxic, how many may be so by chance (Benjamini and Hochberg 1995), as words of mislabelled texts are.
+    chance: float = 0.05
 
 
 @dataclass
@@ -182,17 +184,43 @@ def _texts_with(sample: DataFrame, found: np.ndarray) -> np.ndarray:
     return out
 
 
+def _log_tail(n: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """Log of the chance that of ``total`` texts n or more are toxic, if each is with chance ``share``."""
+    if not len(n):
+        return np.zeros(0)
+    n, total = n.astype(np.int64), total.astype(np.int64)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total.max() + 1)))])
+    out = np.empty(len(n))
+    for i, (a, b) in enumerate(zip(n.tolist(), total.tolist(), strict=True)):
+        k = np.arange(a, b + 1)
+        terms = log_factorial[b] - log_factorial[k] - log_factorial[b - k] + k * np.log(share) + (b - k) * np.log1p(-share)
+        out[i] = terms.max() + np.log(np.exp(terms - terms.max()).sum())
+    return out
+
+
 def seeds(sample: DataFrame, n_toxic: int, n_clean: int, bounds: Bounds = Bounds()) -> np.ndarray:
-    """Hashes of words and stems taken for toxic: in enough toxic texts, between enough different neighbours, and with log odds of 4 or more between texts."""
+    """Hashes of words and stems taken for toxic: in toxic texts and between different neighbours oftener than by chance, and with log odds of 4 or more between texts.
+
+    No bound grows with the number of toxic texts, so that words of a rare language or source count by their own evidence.
+    """
     places = _places(sample.filter("toxic = 1"))
     # First by unit and neighbours, then by unit: no task gathers a unit's places.
     around = places.groupBy("unit", "around").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("kinds"))
     texts = places.groupBy("unit", "doc_id").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("texts"))
     known = texts.join(around, "unit").select("unit", F.least("texts", "kinds").alias("n"))
-    known = known.filter(F.col("n") >= max(3, bounds.least_share * n_toxic)).orderBy(F.desc("n"), "unit").limit(bounds.candidates).toPandas()
+    counted = Observation()
+    known = known.filter(F.col("n") >= bounds.least_texts).observe(counted, F.count(F.lit(1)).alias("tested"))
+    # Fewer texts than this do not reach the log odds even if no clean text has the word: they need not come to the driver.
+    least = 0.5 * np.exp(4) * (n_toxic + 1) / (n_clean + 1) - 0.5
+    known = known.filter(F.col("n") >= float(least) - 1e-6).orderBy(F.desc("n"), "unit").limit(bounds.candidates).toPandas()
+    tested = counted.get["tested"]
     found, n = known.unit.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(float)
     clean = _texts_with(sample.filter("toxic = 0"), found)
-    return found[np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)) >= 4]
+    odd = np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)) >= 4
+    found, tail = found[odd], _log_tail(n[odd], n[odd] + clean[odd], n_toxic / max(n_toxic + n_clean, 1))
+    order = np.sort(tail)
+    passing = np.flatnonzero(order <= np.log(bounds.chance * np.arange(1, len(order) + 1) / max(tested, 1)))
+    return found[tail <= order[passing[-1]]] if len(passing) else found[:0]
 
 
 def _windows(sample: DataFrame, found: np.ndarray) -> DataFrame:

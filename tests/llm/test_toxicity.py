@@ -1,8 +1,11 @@
 import itertools
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from folio.llm import textnum as X
 from folio.llm import toxicity
 
 
@@ -48,6 +51,30 @@ def test_learns_words_and_finds_spans(spark):
     assert by[1000].score == by[1001].score == min(x.score for x in got)
 
 
+def test_words_of_a_rare_language(spark):
+    """Five of 305 toxic texts are of another language: each language's words are found, and no others."""
+    r = random.Random(3)
+    plain, other = [f"w{i}q" for i in range(300)], [f"z{i}q" for i in range(100)]
+    rows = []
+    for i in range(3000):
+        rare = i % 60 == 1
+        words, toxic = [r.choice(other if rare else plain) for _ in range(r.randrange(20, 60))], i % 10 == 0 or i in (1, 61, 121, 181, 241)
+        if toxic:
+            for at in r.sample(range(1, len(words) - 1), 2):
+                words[at] = "malvado" if rare else "vileone"
+        rows.append((i, " ".join(words), int(toxic)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = set(toxicity.seeds(sample, sum(x for *_, x in rows), sum(not x for *_, x in rows)).tolist())
+    own = {x for w in ("malvado", "vileone") for k in (None, *toxicity.HEADS) for x in X.words(*X.flat(pa.array([w])), X.ALNUM).hashes(k).tolist()}
+    assert found == own
+
+
+def test_tails_of_a_binomial():
+    n, total, p = np.array([3, 0, 5, 14]), np.array([3, 4, 9, 14]), 0.25
+    want = [sum(math.comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(a, b + 1)) for a, b in zip(n, total, strict=True)]
+    assert np.allclose(np.exp(toxicity._log_tail(n, total, p)), want)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
