@@ -1,13 +1,15 @@
 """Shards along a Hilbert curve over several metadata dimensions, cut into runs of equal row counts.
 
-Each dimension is quantised at its own quantiles over all rows, so that cells are evenly used; strings count
-by their first six bytes, which keeps their order. Rows are sorted by curve index, with doc_id, size and
+Each dimension is quantised at its own quantiles over all rows, so that cells are evenly used; strings are
+compared whole. Rows are sorted by curve index, with doc_id, size and
 checksum behind it, ranked across partitions, and cut: row r of n goes to shard r * shards / n. Rows close on the
 curve are close in every dimension, so each shard's minimum and maximum prune filters on any of them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,32 +52,48 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a number in the same order. Null: below all."""
+def _value(df: DataFrame, name: str) -> Column:
+    """A string as it is, any other column as a number in the same order. Null: below all."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        raw = F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(raw, 16, 10).cast("double")
+        return F.coalesce(F.col(name), F.lit(""))
     return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
 
+def _string_edges(df: DataFrame, name: str, cells: int) -> list[str]:
+    """Exact quantiles of a string column over rows: the strings in which a multiple of 1 / ``cells`` of all rows is reached, each once."""
+    kinds = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    kinds = written(kinds.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()), "strings")
+    parts = kinds.groupBy("part").agg(F.sum("n").alias("own"))  # a row a partition
+    parts = parts.select("part", (F.sum("own").over(W.Window.orderBy("part")) - F.col("own")).alias("first"), F.sum("own").over(W.Window.partitionBy()).alias("all"))
+    within = F.sum("n").over(W.Window.partitionBy("part").orderBy("value"))
+    reached = kinds.withColumn("within", within).join(F.broadcast(parts), "part").withColumn("stop", F.col("first") + F.col("within"))
+    reached = reached.filter(f"least(stop * {cells} div all, {cells - 1}) > (stop - n) * {cells} div all")
+    return sorted(r.value for r in reached.select("value").collect())  # bounded: one a cell
+
+
 def hilbert_shards(df: DataFrame, dimensions: list[str], tie: list[str], shards: int = 24, bits: int = BITS) -> DataFrame:
     """``df`` with hilbert, shard and slot. Counts of shards differ by one at most.
 
     Null values of a dimension have its lowest cell; equal rows are ranked in any order, once; an empty table
     stays empty. Keep ``df`` narrow: it is written once, sorted, to fix ranks for all later reads.
     """
-    narrow = df.select("*", *[_number(df, d).alias(f"_dim{i}") for i, d in enumerate(dimensions)])
+    narrow = df.select("*", *[_value(df, d).alias(f"_dim{i}") for i, d in enumerate(dimensions)])
     steps = (1 << bits) - 1
     share = [(k + 1) / (steps + 1) for k in range(steps)]
-    found = narrow.agg(*[F.percentile_approx(F.when(F.col(f"_dim{i}") > float("-inf"), F.col(f"_dim{i}")), share, ACCURACY) for i in range(len(dimensions))]).first()
-    edges = [np.unique(np.array(e if e is not None else [], dtype=float)) for e in found]  # bounded: 2**bits a dimension
+    names = [f"_dim{i}" for i in range(len(dimensions))]
+    strings = {n for n in names if isinstance(narrow.schema[n].dataType, T.StringType)}
+    numbers = [F.percentile_approx(F.when(F.col(n) > float("-inf"), F.col(n)), share, ACCURACY).alias(n) for n in names if n not in strings]
+    found = narrow.agg(*numbers).first().asDict() if numbers else {}
+    # Bounded: 2**bits a dimension.
+    edges = [_string_edges(narrow, n, steps + 1) if n in strings else np.unique(np.array(found[n] if found[n] is not None else [], dtype=float)) for n in names]
 
     @F.pandas_udf("long")
     def index(cols: pd.DataFrame) -> pd.Series:
-        cells = np.stack([np.searchsorted(edges[i], cols[f"_dim{i}"].to_numpy(), side="right") for i in range(len(edges))], axis=1)
+        own = [[bisect_right(e, x) for x in cols[n]] if n in strings else np.searchsorted(e, cols[n].to_numpy(), side="right") for n, e in zip(names, edges, strict=True)]
+        cells = np.stack(own, axis=1)
         return pd.Series(hilbert_index(cells, bits))
 
-    placed = narrow.withColumn("hilbert", index(F.struct(*[f"_dim{i}" for i in range(len(dimensions))]))).drop(*[f"_dim{i}" for i in range(len(dimensions))])
+    placed = narrow.withColumn("hilbert", index(F.struct(*names))).drop(*names)
     order = ["hilbert", *tie]
     sorted_ = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "hilbert")
     part, own = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))

@@ -35,3 +35,9 @@ def test_shards_are_narrow_in_every_dimension(spark):
     lows = hilbert_shards(df, ["a", "b"], ["doc_id"], 16).groupBy("shard").agg({"a": "min", "b": "min"}).collect()
     spans = {r.shard: (r["max(a)"], r["max(b)"]) for r in got}
     assert np.mean([max(spans[r.shard][0] - r["min(a)"], spans[r.shard][1] - r["min(b)"]) for r in lows]) < 1100
+
+
+def test_strings_with_a_common_beginning_order_the_rows(spark):
+    df = spark.range(8000).selectExpr("id as doc_id", "concat('https://host', lpad(cast(pmod(hash(id), 400) as string), 3, '0'), '.org/é') as source", "cast(pmod(hash(id, 1), 1000) as double) as size")
+    got = hilbert_shards(df, ["source", "size"], ["doc_id"], 16).selectExpr("shard", "int(substr(source, 13, 3)) as host").groupBy("shard").agg({"host": "stddev"}).collect()
+    assert len(got) == 16 and np.mean([r["stddev(host)"] for r in got]) < 60
