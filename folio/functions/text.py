@@ -17,10 +17,17 @@ def furniture_key(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)\d+", ""), r"(?U)\s+", " ")))
 
 
+#: Stands between lines while they are joined.
+_BREAK = "\x01"
+
+
 def join_lines(lines: Column) -> Column:
-    """An array of lines as a paragraph: a hyphen behind a word character at a line's end joins it to the next."""
-    step = lambda out, line: F.when(out == "", line).when(out.rlike(r"(?U)\w[-‐]\z"), F.concat(out.substr(F.lit(1), F.length(out) - 1), line)).otherwise(F.concat(out, F.lit(" "), line))
-    return strip(F.regexp_replace(F.aggregate(lines, F.lit(""), step), r"(?U)\s{2,}", " "))
+    """An array of lines as a paragraph: a hyphen behind a word character at a line's end joins it to the next.
+    The control character U+0001 inside a line counts as a space.
+    """
+    text = F.array_join(F.transform(lines, lambda line: F.replace(line, F.lit(_BREAK), F.lit(" "))), _BREAK)
+    joined = F.regexp_replace(text, rf"(?U)(?<=\w)(?:[-‐]{_BREAK})+", "")
+    return strip(F.regexp_replace(F.replace(joined, F.lit(_BREAK), F.lit(" ")), r"(?U)\s{2,}", " "))
 
 
 def strip(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import masking as M
 from ..functions import text as T
 from ..functions.rules import AXIS_TICK, RULES, STOPWORDS, TERM, WATERMARK, re2
-from ..operators import corpus, segments, translate
+from ..operators import corpus, ordered, segments, translate
 
 
 #: Bytes of a table below which its file may be one split, which would leave other cores idle.
@@ -35,6 +35,11 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _cut(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, cut (``masking.pieces`` by the rules) and lits: the pattern passes over a text once."""
+    return _spread(df.select(key, text)).select(key, M.protected(F.col(text)).alias("cut")).withColumn("lits", M.literals_of(F.col("cut")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -58,13 +63,14 @@ masked AS (SELECT *, array_to_string(list_transform(parts, lambda p, i: p || CAS
 
 @query(_masked("doc_id", "text", "documents") + "SELECT doc_id, masked, len(lits) AS n_literals, array_to_string(lits, chr(31)) AS literals FROM masked")
 def mask_documents(spark, sf_dir):
-    text = F.col("text")
-    return _spread(_t(spark, sf_dir, "documents")).select("doc_id", M.mask(text).alias("masked"), F.size(M.literals(text)).cast("long").alias("n_literals"), F.array_join(M.literals(text), "\x1f").alias("literals"))
+    own = _cut(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return own.select("doc_id", M.mask_of(F.col("cut")).alias("masked"), F.size("lits").cast("long").alias("n_literals"), F.array_join("lits", "\x1f").alias("literals"))
 
 
 @query(_masked("page_id", "html", "pages") + "SELECT page_id, md5(masked) AS masked_md5, len(lits) AS n_literals FROM masked")
 def mask_pages(spark, sf_dir):
-    return _spread(_t(spark, sf_dir, "pages")).select("page_id", F.md5(M.mask(F.col("html")).cast("binary")).alias("masked_md5"), F.size(M.literals(F.col("html"))).cast("long").alias("n_literals"))
+    own = _cut(_t(spark, sf_dir, "pages"), "page_id", "html")
+    return own.select("page_id", F.md5(M.mask_of(F.col("cut")).cast("binary")).alias("masked_md5"), F.size("lits").cast("long").alias("n_literals"))
 
 
 _RULE = "CASE " + " ".join(f"WHEN regexp_full_match(lit, {_sql('(?s)' + r.plain)}) THEN '{r.name}'" for r in RULES) + " END"
@@ -86,7 +92,7 @@ SELECT doc_id, array_to_string(list_sort(list_filter(range(len(lits)), lambda i:
   array_to_string(list_sort(list_distinct(list_filter(ids, lambda i: i >= len(lits) OR len(list_filter(ids, lambda j: j = i)) > 1))), ',') AS unexpected FROM ids"""
 )
 def restore_checks(spark, sf_dir):
-    docs = _spread(_t(spark, sf_dir, "documents")).select("doc_id", M.mask(F.col("text")).alias("masked"), M.literals(F.col("text")).alias("lits"))
+    docs = _cut(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", M.mask_of(F.col("cut")).alias("masked"), "lits")
     third = F.col("doc_id") % 3
     reply = F.when(third == 0, F.col("masked")).when(third == 1, F.concat(F.replace("masked", F.lit("{{v0}}"), F.lit("")), F.lit(" {{ v9999 }}"))).otherwise(F.concat("masked", F.lit(" {{v0}}")))
     docs = docs.withColumn("reply", reply)
@@ -95,8 +101,8 @@ def restore_checks(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS restored_md5 FROM documents")
 def restore_round_trip(spark, sf_dir):
-    text = F.col("text")
-    return _spread(_t(spark, sf_dir, "documents")).select("doc_id", F.md5(M.restore(M.mask(text), M.literals(text)).cast("binary")).alias("restored_md5"))
+    own = _cut(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return own.select("doc_id", F.md5(M.restore(M.mask_of(F.col("cut")), F.col("lits")).cast("binary")).alias("restored_md5"))
 
 
 @query(_masked("doc_id, line_no", "line", "(SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))") + r"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(body, '\p{L}')) AS with_letters, count(*) FILTER (NOT regexp_matches(regexp_replace(masked, '\{\{\s*[vV]?\s*(\d{1,4})\s*\}\}', '', 'g'), '\p{L}')) AS nothing_to_translate FROM masked GROUP BY doc_id")
@@ -127,7 +133,7 @@ _RUNNING = _KEYED + ", pages AS (SELECT source, count(DISTINCT doc_id) AS all_pa
 
 
 def _page_lines(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n", -1).alias("l"))
+    docs = _spread(_t(spark, sf_dir, "documents").select("source", "doc_id", "text")).select("source", "doc_id", F.split("text", "\n", -1).alias("l"))
     found = docs.select("source", "doc_id", F.size("l").alias("n"), F.posexplode("l").alias("line_no", "line"))
     return found.withColumn("in_band", (F.col("line_no") < 2) | (F.col("line_no") >= F.col("n") - 2))
 
@@ -155,8 +161,7 @@ def joined_paragraphs(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT source, list_sort(list(length(line)))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM lines GROUP BY source")
 def line_medians(spark, sf_dir):
-    found = _page_lines(spark, sf_dir).withColumn("size", F.length("line").cast("long"))
-    return found.groupBy("source").agg(corpus.upper_median("size").alias("upper_median"), F.count("*").alias("n"))
+    return corpus.upper_medians(_page_lines(spark, sf_dir).select("source", F.length("line").cast("long").alias("size")), ["source"], "size")
 
 
 @query(f"WITH {_LINES}, sums AS (SELECT source, CAST(round_even(length(line) / 4.0, 0) AS BIGINT) AS size, sum(length(line)) AS w, min(doc_id * 1000000 + line_no) AS f FROM lines GROUP BY 1, 2) SELECT source, arg_max(size, (w, -f)) AS mode, CAST(max(w) AS BIGINT) AS weight FROM sums GROUP BY source")
@@ -207,8 +212,7 @@ def cache_upserts(spark, sf_dir):
 SELECT source, n AS n_pages, round(avg(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))), 4) AS chars_per_page, avg(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) < 120 AS needs_ocr
 FROM pages_ WHERE page_no % greatest(1, n // 12) = 0 AND page_no // greatest(1, n // 12) < 12 GROUP BY source, n""")
 def source_density(spark, sf_dir):
-    pages = _t(spark, sf_dir, "documents").select("source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("page_no"), "text")
-    return corpus.density(pages, "source").withColumn("chars_per_page", F.round("chars_per_page", 4))
+    return corpus.density(_t(spark, sf_dir, "documents"), "source", "doc_id").withColumn("chars_per_page", F.round("chars_per_page", 4))
 
 
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<rt\b[^>]*>.*?</rt>', '', 'g'), '(?is)<rp\b[^>]*>.*?</rp>', '', 'g'), '(?i)</?(?:ruby|rb)\b[^>]*>', '', 'g'), '(?i)<br\s*/?>', ' ', 'g')) AS prepared_md5,
@@ -253,8 +257,8 @@ UNION ALL SELECT e.user_id, e.rn, CASE WHEN NOT ok THEN greatest(0.8::DOUBLE, ra
  CASE WHEN NOT ok THEN 0 WHEN rate >= 8 THEN good WHEN good + 1 >= 20 THEN 0 ELSE good + 1 END FROM fold f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
 SELECT user_id, arg_max(rate, rn) AS rate, max(rn) AS n FROM fold GROUP BY user_id""")
 def limiter_rates(spark, sf_dir):
-    held = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").alias("ok")))).alias("e"))
-    return held.select("user_id", translate.rates(F.col("e.ok"), 8.0).alias("rate"), F.size("e").cast("long").alias("n"))
+    outcomes = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return translate.rates(outcomes, "user_id", ["ts", "event_id"], "ok", 8.0)
 
 
 @query(f"""WITH RECURSIVE {_EVENTS.replace("epoch(ts)", "floor(epoch(ts))")}, fold AS (SELECT user_id, rn, CAST(0 AS DOUBLE) AS tokens, CAST(t AS DOUBLE) AS go FROM e WHERE rn = 1
@@ -262,9 +266,9 @@ UNION ALL SELECT user_id, rn, CASE WHEN have >= 1 THEN have - 1 ELSE 0 END, CASE
  FROM (SELECT e.user_id, e.rn, greatest(e.t, f.go) AS now, least(1.0::DOUBLE, f.tokens + (greatest(e.t, f.go) - f.go) * 0.5::DOUBLE) AS have FROM fold f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
 SELECT user_id, count(*) AS n, round(max(go), 3) AS last_at FROM fold GROUP BY user_id""")
 def bucket_admissions(spark, sf_dir):
-    held = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e"))
-    go = translate.admissions(F.transform(F.col("e.ts"), lambda t: F.unix_timestamp(t).cast("double")), 0.5)
-    return held.select("user_id", F.size("e").cast("long").alias("n"), F.round(F.array_max(go), 3).alias("last_at"))
+    requests = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.unix_timestamp("ts").cast("double").alias("t"))
+    found = translate.admissions(requests, "user_id", ["ts", "event_id"], "t", 0.5)
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("go"), 3).alias("last_at"))
 
 
 _BOX = {"x0": "l_partkey % 900", "y0": "l_suppkey * 7 % 1300", "x1": "l_partkey % 900 + l_quantity", "y1": "l_suppkey * 7 % 1300 + 12"}
@@ -310,6 +314,7 @@ def page_segments(spark, sf_dir):
 def translated_pages(spark, sf_dir):
     """Pages translated by a repeatable engine and rendered again."""
     of = segments.blocks(segments.html_pages_to_markdown(_spread(_t(spark, sf_dir, "pages")), "page_id", "html"))
+    of = ordered.stored(of)  # read by the segments and by what puts them back
     own = segments.segments(of)
     done = translate.translate_many(own, translate.Reversing())
     pages = segments.rendered(segments.apply(of, done))

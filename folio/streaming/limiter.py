@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.translate import BACKOFF, FLOOR, RECOVERY, STEP
+from ..operators.translate import next_rate
 
 
 def rates(outcomes: DataFrame, base: float) -> DataFrame:
@@ -18,12 +18,7 @@ def rates(outcomes: DataFrame, base: float) -> DataFrame:
         rate, good, n = state.get if state.exists else (base, 0, 0)
         for ok in pd.concat(list(frames)).sort_values("seq")["ok"]:
             n += 1
-            if not ok:
-                rate, good = max(base * FLOOR, rate * BACKOFF), 0
-            elif rate < base:
-                good += 1
-                if good >= RECOVERY:
-                    rate, good = min(base, rate + base * STEP), 0
+            rate, good = next_rate(rate, good, ok, base)
         state.update((rate, good, n))
         yield pd.DataFrame([(key[0], rate, n)], columns=["engine", "rate", "n"])
 

@@ -1,5 +1,6 @@
 """Text rules against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -50,18 +51,28 @@ def test_protected_terms_come_first(spark):
 
 
 def test_random_texts_agree_with_python(spark):
-    import random
-
     r = random.Random(1)
     rule = re.compile("(?s)" + "|".join(f"(?:{x.java})" for x in RULES))
-    texts = ["".join(r.choice(["a", "B", " ", "$", "`", "[", "]", "(", ")", "!", "_", ".", "1", "é", "\n", "<", ">", "http://", "@", "\\", "Ω", "٣"]) for _ in range(40)) for _ in range(2000)]
-    got = column(spark, [(t,) for t in texts], "t string", l=M.literals(F.col("t")))
+    texts = ["".join(r.choice(["a", "B", " ", "$", "`", "[", "]", "(", ")", "!", "_", ".", "1", "é", "\n", "<", ">", "http://", "www.", "@", "\\", "Ω", "٣", "+", "-", "ab", "\x01"]) for _ in range(40)) for _ in range(3000)]
+    got = column(spark, [(t,) for t in texts], "t string", l=M.literals(F.col("t")), m=M.mask(F.col("t")), b=M.restore(M.mask(F.col("t")), M.literals(F.col("t"))))
     assert [x.l for x in got] == [[m[0] for m in rule.finditer(t)] for t in texts]
+    assert [x.m for x in got] == ["".join(f"{p}{{{{v{i}}}}}" for i, p in enumerate(rule.split(t)[:-1])) + rule.split(t)[-1] for t in texts]
+    assert [x.b for x in got] == texts
 
 
 def test_lines_join(spark):
     rows = [(["a frag-", "ment of", "  text "],), (["re‐", "do"],), ([],), (["x -", "y"],)]
     assert [x.j for x in column(spark, rows, "l array<string>", j=T.join_lines(F.col("l")))] == ["a fragment of text", "redo", "", "x - y"]
+    r = random.Random(2)
+    many = [["".join(r.choice("aé- ‐1") for _ in range(r.randrange(4))) for _ in range(r.randrange(7))] for _ in range(2000)]
+
+    def plain(lines):
+        out = ""
+        for line in lines:
+            out = line if not out else out[:-1] + line if re.search(r"\w[-‐]\Z", out) else f"{out} {line}"
+        return re.sub(r"\s{2,}", " ", out).strip()
+
+    assert [x.j for x in column(spark, [(m,) for m in many], "l array<string>", j=T.join_lines(F.col("l")))] == [plain(m) for m in many]
 
 
 def test_small_rules(spark):
@@ -97,12 +108,22 @@ def test_blocks():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab #->|`*\n1."), max_size=60))
+@given(st.text(st.sampled_from("ab #->|`*\n1.=[]:\t"), max_size=60))
 def test_blocks_never_fail(text):
     B.to_html(B.parse(text))
     B.to_markdown(B.parse(text))
 
 
+def test_more_kinds_of_blocks():
+    md = "Title\n=====\n\nTwo\nlines\n---\n\n    x = `1`\n\n    y\n\nSee [the Page][p], [P] and [no such].\n\n[p]: http://h/x 'T'\n- |\n-"
+    found = B.parse(md)
+    assert [(b.kind, b.level, b.content) for b in found[:3]] == [("heading", 1, "Title"), ("heading", 2, "Two lines"), ("code", 3, "x = `1`\n\ny")]
+    assert [b.kind for b in found[3:5]] == ["paragraph", "definition"]
+    html = B.to_html(found)
+    assert '<a href="http://h/x">the Page</a>, <a href="http://h/x">P</a> and [no such].' in html and "http://h/x 'T'" not in html
+    assert B.to_markdown(found).startswith("# Title\n\n## Two lines\n\n```\nx = `1`\n\ny\n```\n\nSee [the Page][p]") and "[p]: http://h/x 'T'" in B.to_markdown(found)
+
+
 def test_html_to_markdown():
     html = "<html><head><style>x{}</style></head><body><h2>A &amp; B</h2><p>One <b>two</b> <a href='u'>l</a></p><script>no()</script><ul><li>x</li><li>y</li></ul><table><tr><th>p</th></tr><tr><td>q</td></tr></table><blockquote><p>z</p></blockquote></body>"
     text = B.html_to_markdown(html)
@@ -111,6 +132,7 @@ def test_html_to_markdown():
 
 def test_latin_runs():
     assert B.isolate_latin('<p class="x">نص London EC1. و &quot; <code>ab</code> 12</p>') == '<p class="x">نص <bdi>London EC1</bdi>. و &quot; <code>ab</code> 12</p>'
+    assert B.isolate_latin("a<b>c</b>d & e &amp;f <PRE>g<i>h</i></pre>1 2<code>open x") == "<bdi>a</bdi><b><bdi>c</bdi></b><bdi>d & e</bdi> &amp;<bdi>f</bdi> <PRE>g<i>h</i></pre>1 2<code>open x"
     assert B.group_openings("<h2>a</h2>\n<h1>b</h1>\n<p>c</p>").startswith('<div class="chapter-open"><h2>a</h2>\n<h1>b</h1></div>\n<p>')
 
 
