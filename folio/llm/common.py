@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -16,15 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A local temporary folder only where it is unset and Spark is local."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder in the warehouse, which
+    driver and executors share too.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="folio-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -36,15 +34,33 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes what ``written`` made for ``df``, once nothing reads it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for spark, own in [w for w in _written if path.endswith(w[1].rpartition("/")[2])]:
+            _delete(spark, own)
+            _written.remove((spark, own))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove_written() -> None:
     """Deletes what ``written`` has left. Called at the end of the process; call it earlier only once results are stored."""
     while _written:
-        spark, path = _written.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended
             return
 
 
+def tidy() -> None:
+    """At the end of a Python worker's task: gives freed memory back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 atexit.register(remove_written)

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import written
-from .tokens import Encoder
+from . import textnum as X
+from .common import tidy, written
+from .tokens import Encoder, with_end
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -128,36 +129,42 @@ def write_segments(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", kind:
     """Encodes ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order.
 
     Null and empty texts are the end id alone. Rows that share a doc_id stay separate documents, ordered by
-    text. An empty table gives no segments. Null doc_ids come first. A very long text makes a longer segment.
+    text. An empty table gives no segments. Null doc_ids come first. A very long text makes a longer
+    segment; one whose codes exceed the 2 GB of a binary cell is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, segment, before = Encoder.of(tokenizer, kind, 4), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        ids: list[bytes] = []
-        docs_: list[int | None] = []
+        encoder, shard, segment, before = Encoder.of(tokenizer, kind), TaskContext.get().partitionId(), 0, 0
+        ids: list[np.ndarray] = []
+        doc_ids: list[int | None] = []
         lengths: list[int] = []
 
         def close() -> pa.RecordBatch:
             nonlocal segment, before
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([len(all_ids)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(all_ids, widths)], pa.binary())], names=["shard", "segment", "ids_before", "n_ids", "doc_ids", "doc_lengths", "payload"])
+            all_ids = np.concatenate(ids)
+            row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([len(all_ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(all_ids, widths)], pa.binary())], names=["shard", "segment", "ids_before", "n_ids", "doc_ids", "doc_lengths", "payload"])
             segment, before = segment + 1, before + len(all_ids)
-            ids.clear(), docs_.clear(), lengths.clear()
+            ids.clear(), doc_ids.clear(), lengths.clear()
             return row
 
         total = 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                for doc, own in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    ids.append(own + end), docs_.append(doc), lengths.append(len(own) // 4 + 1)
-                    total += lengths[-1]
-                    if total >= segment_ids:
-                        yield close()
-                        total = 0
-        if docs_:
+        for batch, data, at in X.pieces(batches):
+            own, places = with_end(*encoder.flat(data, at), end_id)
+            names, sizes, row = batch.column("doc_id").to_pylist(), np.diff(places), 0
+            while row < len(names):
+                # Up to the document with which the segment is large enough.
+                stop = min(int(np.searchsorted(places, places[row] + segment_ids - total)), len(names))
+                ids.append(own[places[row] : places[stop]])
+                doc_ids += names[row:stop]
+                lengths += sizes[row:stop].tolist()
+                total += int(places[stop] - places[row])
+                row = stop
+                if total >= segment_ids:
+                    yield close()
+                    total = 0
+        if doc_ids:
             yield close()
+        tidy()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SEGMENTS)

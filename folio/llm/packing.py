@@ -11,50 +11,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import written
-from .tokens import Encoder
+from . import textnum as X
+from .common import tidy, written
+from .tokens import Encoder, with_end
 
 LENGTH, OPEN, SLACK = 2048, 32, 16
 PIECES = "doc_id long, doc_tokens long, start long, ids binary, part int, window long, offset long, left boolean"
 
 
 class Windows:
-    """The open windows of one partition."""
+    """The open windows of one partition. A document is anything that can be sliced; windows hold slices of it."""
 
     def __init__(self, length: int, most: int, slack: int):
         self.length, self.most, self.slack, self.closed = length, most, slack, 0
         self.open: list[list] = []  # free tokens, pieces
 
-    def add(self, doc: tuple, start: int, stop: int, out: list) -> None:
-        """Places tokens start to stop of ``doc``; emitted pieces go to ``out`` as (doc, start, stop, window, offset)."""
+    def add(self, doc: tuple, ids, out: list) -> None:
+        """Places ``ids`` of ``doc``; emitted pieces go to ``out`` as (doc, start, ids, window, offset)."""
+        start, stop = 0, len(ids)
         while stop - start >= self.length:
-            self._emit([0, [(doc, start, start + self.length)]], out)
+            self._emit([0, [(doc, start, ids[start : start + self.length])]], out)
             start += self.length
         while start < stop:
             size = stop - start
-            fits = [w for w in self.open if w[0] >= size]
-            if fits:
-                best = min(fits, key=lambda w: w[0])
-            elif len(self.open) < self.most:
+            # Best fit: the least free space that is enough. Of equals, the window opened first.
+            best = min((w for w in self.open if w[0] >= size), key=lambda w: w[0], default=None)
+            if best is None and len(self.open) < self.most:
                 best = [self.length, []]
                 self.open.append(best)
-            else:
+            if best is None:
                 fullest = min(self.open, key=lambda w: w[0])
                 if fullest[0] > self.slack:
-                    fullest[1].append((doc, start, start + fullest[0]))
+                    fullest[1].append((doc, start, ids[start : start + fullest[0]]))
                     start += fullest[0]
                 self.open.remove(fullest)
                 self._emit(fullest, out)
                 continue
             best[0] -= size
-            best[1].append((doc, start, stop))
+            best[1].append((doc, start, ids[start:stop]))
             if not best[0]:
                 self.open.remove(best)
                 self._emit(best, out)
@@ -62,53 +62,69 @@ class Windows:
 
     def _emit(self, window: list, out: list) -> None:
         at = 0
-        for doc, start, stop in window[1]:
-            out.append((doc, start, stop, self.closed, at))
-            at += stop - start
+        for doc, start, ids in window[1]:
+            out.append((doc, start, ids, self.closed, at))
+            at += len(ids)
         self.closed += 1
 
     def rest(self, out: list) -> None:
         """The windows left open, as one stretch."""
         at = 0
         for _, held in self.open:
-            for doc, start, stop in held:
-                out.append((doc, start, stop, None, at))
-                at += stop - start
+            for doc, start, ids in held:
+                out.append((doc, start, ids, None, at))
+                at += len(ids)
         self.open = []
 
 
+class _Ids:
+    """A document's ids; a slice of it is a copy, so that an open window holds no more than its own."""
+
+    __slots__ = ("raw",)
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return len(self.raw) // 4
+
+    def __getitem__(self, part: slice) -> _Ids:
+        return _Ids(self.raw[4 * part.start : 4 * part.stop])
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte_level", end_id: int = 1, length: int = LENGTH, open_windows: int = OPEN, slack: int = SLACK) -> DataFrame:
     """Packs ``docs`` (doc_id, text; other columns are ignored): a row a piece, with its ids.
 
     Returns doc_id, start (tokens of its document before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens (the end id included), sequence_id (dense from 0), offset (in the sequence). Null and empty texts are the end
-    id alone; repeated rows are packed each; an empty table gives no pieces.
+    id alone; repeated rows and rows without doc_id are packed each; a text of any length is held once, as ids; of windows with
+    equal space the one opened first is taken; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, windows = Encoder.of(tokenizer, kind, 4), TaskContext.get().partitionId(), Windows(length, open_windows, slack)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encoder, part, windows = Encoder.of(tokenizer, kind), TaskContext.get().partitionId(), Windows(length, open_windows, slack)
 
         def rows(found: list) -> pa.RecordBatch:
             cols = [
-                pa.array([d[0] for d, *_ in found], pa.int64()), pa.array([len(d[1]) // 4 for d, *_ in found], pa.int64()), pa.array([s for _, s, *_ in found], pa.int64()),
-                pa.array([d[1][4 * s : 4 * e] for d, s, e, *_ in found], pa.binary()), pa.array([part] * len(found), pa.int32()),
+                pa.array([d[0] for d, *_ in found], pa.int64()), pa.array([d[1] for d, *_ in found], pa.int64()), pa.array([s for _, s, *_ in found], pa.int64()),
+                pa.array([i.raw for _, _, i, *_ in found], pa.binary()), pa.array([part] * len(found), pa.int32()),
                 pa.array([w or 0 for *_, w, _ in found], pa.int64()), pa.array([o for *_, o in found], pa.int64()), pa.array([w is None for *_, w, _ in found], pa.bool_()),
             ]
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "start", "ids", "part", "window", "offset", "left"])
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                piece, found = batch.slice(a, 500), []
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
-                    doc = (doc_id, ids + end)
-                    windows.add(doc, 0, len(doc[1]) // 4, found)
-                if found:
-                    yield rows(found)
+        for batch, data, at in X.pieces(batches):
+            ids, places = with_end(*encoder.flat(data, at), end_id)
+            raw, places, found = ids.astype("<u4", copy=False).data, (4 * places).tolist(), []
+            raw = memoryview(raw).cast("B")
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), places[:-1], places[1:], strict=True):
+                windows.add((doc_id, (b - a) // 4), _Ids(bytes(raw[a:b])), found)
+            if found:
+                yield rows(found)
         found = []
         windows.rest(found)
         if found:
             yield rows(found)
+        tidy()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = written(narrow.mapInArrow(run, PIECES), "packed")
