@@ -128,8 +128,8 @@ class Reader:
 def write_segments(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", kind: str = "word_end", end_id: int = 2, widths: tuple[int, ...] = (8, 8), segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order.
 
-    Null and empty texts are the end id alone. Rows that share a doc_id stay separate documents, ordered by
-    text. An empty table gives no segments. Null doc_ids come first. A very long text makes a longer
+    Null and empty texts are the end id alone. Rows that share a doc_id stay separate documents, ordered by a hash
+    of their text and then the text. An empty table gives no segments. Null doc_ids come first. A very long text makes a longer
     segment; one whose codes exceed the 2 GB of a binary cell is an error.
     """
 
@@ -166,8 +166,10 @@ def write_segments(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", kind:
             yield close()
         tidy()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SEGMENTS)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    # Whole texts are no range keys: those are sampled to the driver and sent to each task.
+    ordered = ordered.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    return ordered.select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
 def read_documents(segments: DataFrame, function=None, column: str = "ids binary") -> DataFrame:
