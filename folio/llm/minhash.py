@@ -1,6 +1,6 @@
 """Near duplicates by SuperMinHash (Ertl 2017), banding, verification on full sets and components.
 
-A document's set is its distinct 5-word shingles, as 48-bit hashes. Equal sets are one class. SuperMinHash
+A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class. SuperMinHash
 lets each element go through the components in a random order of its own; in step j it can set the j-th of
 them to j + r, 0 <= r < 1. Here all elements take step j together, and a document stops once each component
 holds a value below j + 1, as no later step can lower any: few steps for long texts, and the same signature.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import written
+from .common import spread_join, written
 from .components import components
 
 SHINGLE = 5
@@ -32,15 +32,13 @@ BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
 #: A pair whose signatures agree in fewer components is not verified: 5 standard deviations below 0.75.
 AGREE = int(SIZE * (0.75 - 5 * (0.75 * 0.25 / SIZE) ** 0.5))
-BLOCK = 1000
-_LOW48 = np.uint64((1 << 48) - 1)
+BLOCK = 500
+_MASK64 = (1 << 64) - 1
 
 
 def shingles(w: X.Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, ascending, and n + 1 places where rows begin. Rows with fewer words: one of all of them."""
     h, n = w.hashes(), w.per_row
-    if len(n) > 1 << 16:
-        raise ValueError("at most 65536 rows at once")
     whole = np.arange(max(len(h) - width + 1, 0))
     whole = whole[w.row[whole] == w.row[whole + width - 1]]
     code = np.zeros(len(whole), dtype=np.uint64)
@@ -54,9 +52,15 @@ def shingles(w: X.Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
             there = n[short] > j
             own[there] = own[there] * np.uint64(0xD6E8FEB86659FD93) + h[w.first[short[there]] + j]
         code, row = np.concatenate([code, own + n[short].astype(np.uint64)]), np.concatenate([row, short])
-    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (X.mix(code) & _LOW48))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & _LOW48, np.searchsorted(key >> np.uint64(48), np.arange(len(n) + 1).astype(np.uint64))
+        order = np.argsort(row, kind="stable")
+        code, row = code[order], row[order]
+    code, first = X.mix(code), np.searchsorted(row, np.arange(len(n) + 1))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a > 1:
+            code[a:b].sort()
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+    return code[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def signatures(elements: np.ndarray, first: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -76,7 +80,7 @@ def _sign(e: np.ndarray, row: np.ndarray, out: np.ndarray, size: int) -> None:
     for j in range(size):
         if not len(e):
             return
-        z = X.mix(e * np.uint64(0xA24BAED4963EE407) + np.uint64(j) * np.uint64(0x9FB21C651E98DF25))
+        z = X.mix(e * np.uint64(0xA24BAED4963EE407) + np.uint64(j * 0x9FB21C651E98DF25 & _MASK64))
         k = (((z >> np.uint64(32)) * np.uint64(size - j)) >> np.uint64(32)).astype(np.int64) + j
         value = ((z & np.uint64(0xFFFFFF)) | (np.uint64(j) << np.uint64(24))).astype(np.uint32)
         if j < 4:
@@ -291,10 +295,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     every = written(describe(docs), "minhash")
     known = every.filter("n > 0 and doc_id is not null")
-    classes = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "classes")
+    classes = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "classes")
+    n_rows, n_classes = classes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("p"), F.max("id").alias("q")).filter("members > 1")
-    members = written(rows.join(buckets, "key"), "buckets")
+    members = written(spread_join(rows, buckets, ["key"], "members", "id", n_classes * BANDS), "buckets")
     signs = classes.select("id", "n", "sign")
     # Each class against the pivots of its buckets, the best of which is verified.
     pairs = members.select("id", F.explode(F.array("p", "q")).alias("pivot")).filter("id <> pivot").distinct()
@@ -302,22 +307,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).withColumn("agree", _agreement("sign", "other")).filter(F.col("agree") >= AGREE)
     best = pairs.groupBy("id").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("pivot"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.pivot")).alias("b"))
     links = written(verified(docs, written(best, "pairs"), percent), "links")
-    # Rows that share a doc_id link their classes: both hold its smallest one.
-    shared = known.join(classes.select("f1", "f2", "id"), ["f1", "f2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    twice = shared.join(shared.groupBy("a").agg(F.countDistinct("b").alias("k")).filter("k > 1"), "a").select("a", "b")
-    own = shared.join(classes.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b")
-    links = written(links.unionByName(twice).unionByName(own), "links")
+    # Rows that share a doc_id link their classes.
+    of_doc = known.select("doc_id", "f1", "f2", "n").distinct()
+    several = of_doc.join(of_doc.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), "doc_id").join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"])
+    twice = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
+    links = written(links.unionByName(twice), "links")
     first = written(components(links), "components")
     labelled = members.select("key", "band", "id", "members").join(first, F.col("id") == F.col("node"), "left").select("key", "band", "id", "members", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = written(labelled.join(mixed, "key"), "open")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).filter("low < high").select("key", "k")
+    open_ = written(spread_join(labelled, mixed, ["key"], "k", "id", n_classes * BANDS).drop("k"), "open")
     blocks = _blocks(_earlier(open_.join(classes.select("id", "n", "sign", "bands"), "id")))
     asked = written(_in_question(blocks, percent), "asked")
     whole = sets(docs.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).select(F.col("doc_id").alias("id"), "shingles")
     links = links.unionByName(written(_links_in_blocks(blocks.join(asked, ["key", "i", "j", "id"], "left_semi").join(whole, "id"), percent), "links"))
     final = written(components(links), "components")
-    of_class = classes.select("f1", "f2", "n", "id").join(final, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
-    out = every.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
+    of_class = classes.select("f1", "f2", "n", "id", "times").join(final, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", "times", F.coalesce("component", "id").alias("component_id"))
+    of_class = written(of_class, "classes")
+    placed = spread_join(known.select("doc_id", "n", "f1", "f2"), of_class, ["f1", "f2", "n"], "times", None, n_rows).select("doc_id", "n", "component_id")
+    rest = every.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = placed.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

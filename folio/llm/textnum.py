@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .common import lean, tidy
+
 #: Bytes of text that are worked on together; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
 
@@ -71,6 +73,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut to about ``limit`` bytes of text, each with ``flat()`` of its text column."""
+    lean()
     for batch in batches:
         data, at = flat(batch.column(text))
         start, n = 0, batch.num_rows
@@ -79,6 +82,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             end = min(end, n)
             yield batch.slice(start, end - start), data[at[start] : at[end]], at[start : end + 1] - at[start]
             start = end
+        del batch, data, at
+    tidy()
 
 
 @dataclass

@@ -18,7 +18,7 @@ from . import textnum as X
 #: Longer cuts, in bytes, are encoded anew each time.
 LONGEST_KEPT = 48
 #: Bytes of the table of cuts in one Python worker; a full one starts anew.
-MOST_BYTES = 48 << 20
+MOST_BYTES = 32 << 20
 #: A text beyond so many bytes is worked on in parts.
 PART_BYTES = 1 << 20
 

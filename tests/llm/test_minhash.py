@@ -119,6 +119,45 @@ def test_pairs_meet_by_whole_keys(spark):
     assert [sorted((x.a, x.b)) for x in minhash._links_in_blocks(alone, 75).distinct().collect()] == [[7, 8]]
 
 
+def test_no_pair_that_shares_a_band_is_lost():
+    """5,000 pairs at 0.75 to 0.8, by threes and more in a bucket: each that shares a band is held against each other once."""
+    r, lost, shared = np.random.default_rng(8), 0, 0
+    for _ in range(1000):
+        base = r.integers(0, 1 << 60, 400).astype(np.uint64)
+        sets = []
+        for _ in range(3):
+            own = base.copy()
+            k = r.integers(20, 30)
+            own[r.choice(400, k, replace=False)] = r.integers(0, 1 << 60, k)
+            sets.append(np.unique(own))
+        first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        sign = minhash.signatures(np.concatenate(sets), first)
+        keys = X.signed(minhash.bands(sign))
+        low = sign.astype(np.uint8)
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if not 75 <= 100 * common / (len(sets[a]) + len(sets[b]) - common) <= 85 or not (keys[a] == keys[b]).any():
+                continue
+            shared += 1
+            found = 0
+            for band in np.flatnonzero(keys[a] == keys[b]).tolist():
+                rows = sorted((len(sets[k]), k) for k in (a, b))
+                t = pa.table({"key": [1, 1], "i": [0, 0], "j": [0, 0], "band": [band] * 2, "n": [n for n, _ in rows], "id": [k for _, k in rows], "component": [k for _, k in rows], "block": [0, 0], "sign": [low[k].tobytes() for _, k in rows], "earlier": [keys[k, :band].tolist() for _, k in rows]})
+                t = t.set_column(t.schema.get_field_index("earlier"), "earlier", t["earlier"].cast(pa.list_(pa.int64())))
+                found += sum(len(own) for own, _ in minhash._candidates(t, 75))
+            lost += found != 1
+    assert shared > 2000 and lost <= shared // 2000
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    near = [w if r.random() > 0.01 else "x" for w in words]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "w1 w2")], "doc_id long, text string")
+    got = {x.doc_id: (x.component_id, x.n_shingles) for x in minhash.near_duplicates(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 3} and got[1][1] == len(shingle_set(" ".join(words)))
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (3, "z " * 9), (5, "z " * 9), (9, text)], "doc_id long, text string")
