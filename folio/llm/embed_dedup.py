@@ -9,10 +9,14 @@ A pair that meets more than once counts at its first meeting alone, which both v
 of links add up without a list of pairs. Only (bucket, vector) pairs are shuffled to find buckets where vectors meet; the
 vectors themselves go to those alone. Equal vectors are one class that counts as often as it occurs. Buckets
 over BLOCK vectors are cut into blocks, and each pair of blocks is work of its own.
+
+The number of tables follows from the chance that a pair at the wanted cosine meets in one, which is measured on
+random pairs of the same dimension, so that RECALL of such pairs meet at any dimension and width.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,15 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import written
+from .common import lean, spread_join, tidy, written
 from .components import components
 
-#: Tables by hashes in a row. With PROBES buckets each, fewer than 1 of 100 pairs at cosine 0.9 are missed (see the tests), and ever fewer above it.
-TABLES = {1: 6, 2: 10, 3: 20, 4: 36, 5: 60}
+#: Share of pairs at the very limit that meet; of closer pairs more do.
+RECALL = 0.995
 PROBES = 3
-#: Buckets for each vector: few enough meetings by chance, whatever the number of vectors.
-SPARSE = 16
-BLOCK = 1000
+#: Buckets for each vector: about one meeting by chance a bucket, whatever the number of vectors.
+SPARSE = 1
+#: Hashes in a row at most: with these, buckets outnumber any collection.
+WIDEST = 6
+BLOCK = 400
 SMALL = 48
 
 
@@ -82,6 +88,34 @@ def codes(x: np.ndarray, width: int, tables: int, probes: int = PROBES) -> np.nd
     return out
 
 
+def pairs_at(dim: int, cosine: float, n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at this cosine."""
+    r = np.random.Generator(np.random.PCG64([seed, dim]))
+    x, z = r.normal(size=(n, dim)), r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + (1 - cosine * cosine) ** 0.5 * z
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs by tables: whether one is stored where the other is stored or asks (codes: pairs by tables by probes)."""
+    return (a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)
+
+
+@functools.cache
+def tables_for(dim: int, width: int, cosine: float, recall: float = RECALL, pairs: int = 400, tried: int = 24) -> int:
+    """Tables with which ``recall`` of pairs at the cosine meet. Measured on ``pairs`` pairs in ``tried`` tables, less two standard errors."""
+    x, y = pairs_at(dim, cosine, pairs)
+    met = meet(codes(x, width, tried), codes(y, width, tried))
+    p = met.mean()
+    # Some pairs meet less than others: the spread between pairs counts, not their mean alone.
+    p = max(p - 2 * met.mean(axis=1).std() / pairs**0.5 - 2 * (p * (1 - p) / met.size) ** 0.5, 0.5 / met.size)
+    return max(2, int(np.ceil(np.log(1 - recall) / np.log1p(-min(p, 1 - 1e-9)))))
+
+
 def _first_meeting(own: np.ndarray, other: np.ndarray, table: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Whether pairs (their codes: pairs by tables by probes) meet in ``table`` at bucket ``code`` for the first time."""
     a, b = own[:, :, 0], other[:, :, 0]
@@ -110,23 +144,24 @@ def _vectors(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray,
 
 
 def describe(vectors: DataFrame, kind: type = np.float64) -> DataFrame:
-    """vec_id, class (a hash of dimension and numbers; null: links with nothing), dim, vec (its numbers)."""
+    """vec_id, class (128 bits of a hash of its numbers; null: links with nothing), dim, vec (its numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, begin, size, ok = _vectors(batch, "embedding")
             raw = [(x[b : b + n] + 0.0).astype(kind).tobytes() if k else None for b, n, k in zip(begin.tolist(), size.tolist(), ok.tolist(), strict=True)]
-            name = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) if r else None for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(name, pa.int64()), pa.array(np.where(ok, size, 0), pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "class", "dim", "vec"])
+            name = [hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(name, pa.binary()), pa.array(np.where(ok, size, 0), pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "class", "dim", "vec"])
 
     narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return narrow.mapInArrow(run, "vec_id long, class long, dim int, vec binary")
+    return narrow.mapInArrow(run, "vec_id long, class binary, dim int, vec binary")
 
 
 def _hashed(classes: DataFrame, width: int, tables: int, kind: type) -> DataFrame:
     """``classes`` with codes: tables by PROBES buckets in a row, null where a probe repeats one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
@@ -141,7 +176,7 @@ def _hashed(classes: DataFrame, width: int, tables: int, kind: type) -> DataFram
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * tables * PROBES, pa.int32()), pa.array(c.reshape(-1), mask=again.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "codes"])
 
-    return classes.select("class", "id", "times", "dim", "vec").mapInArrow(run, "class long, id long, times long, dim int, vec binary, codes array<long>")
+    return classes.select("class", "id", "times", "dim", "vec").mapInArrow(run, "class binary, id long, times long, dim int, vec binary, codes array<long>")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -159,7 +194,7 @@ def _links(hashed: DataFrame, cosine: float, tables: int, kind: type) -> DataFra
             part = t if (dims == dim).all() else t.filter(pa.array(dims == dim))
             group = np.stack([part[c].to_numpy() for c in ("key", "i", "j", "table", "code")])
             new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)])
-            name, id_, times, block = (part[c].to_numpy() for c in ("class", "id", "times", "block"))
+            name, (id_, times, block) = part["class"].combine_chunks(), (part[c].to_numpy() for c in ("id", "times", "block"))
             own = pc.fill_null(pc.list_flatten(part["codes"].combine_chunks()), -1).to_numpy(zero_copy_only=False).reshape(len(name), tables, PROBES)
             x = _unit(np.frombuffer(b"".join(part["vec"].to_pylist()), kind).reshape(len(name), dim).astype(np.float64))
             stored = own[np.arange(len(name)), group[3], 0] == group[4]
@@ -197,12 +232,13 @@ def _links(hashed: DataFrame, cosine: float, tables: int, kind: type) -> DataFra
                 if (before == low).all():
                     break
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(id_[some]), pa.array(n[some].astype(np.int64)), pa.array(low[some])], names=["class", "id", "n", "low"])
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(some)), pa.array(id_[some]), pa.array(n[some].astype(np.int64)), pa.array(low[some])], names=["class", "id", "n", "low"])
 
     names = ("key", "i", "j", "table", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        lean()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,6 +251,7 @@ def _links(hashed: DataFrame, cosine: float, tables: int, kind: type) -> DataFra
             held = t.slice(cut).combine_chunks()
         if held is not None:
             yield from found(held)
+        tidy()
 
     each = hashed.select("class", "dim", F.posexplode("codes").alias("pos", "code")).filter("code is not null").withColumn("table", F.expr(f"cast(pos div {PROBES} as int)"))
     each = each.select("class", F.xxhash64("dim", "table", "code").alias("key"), "table", "code", (F.col("pos") % PROBES == 0).alias("stored"))
@@ -223,7 +260,7 @@ def _links(hashed: DataFrame, cosine: float, tables: int, kind: type) -> DataFra
     cut = live.join(hashed, "class").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "id", "times", "dim", "table", "code", "codes", "vec", "block")
-    return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "table", "code", "class").mapInArrow(run, "class long, id long, n long, low long")
+    return cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "table", "code", "class").mapInArrow(run, "class binary, id long, n long, low long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int | None = None) -> DataFrame:
@@ -236,15 +273,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int | None =
     kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
     every = written(describe(vectors.filter("vec_id is not null"), kind), "vectors")
     classes = written(every.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
+    n, n_rows, dim = classes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
     if width is None:
-        n, dim = classes.agg(F.count("*"), F.max("dim")).first()
-        width = min(max(TABLES), int(np.ceil(np.log(SPARSE * max(n, 1)) / np.log(2 * max(dim or 1, 2)))))
-    links = written(_links(written(_hashed(classes, width, TABLES[width], kind), "hashed"), cosine, TABLES[width], kind), "links")
+        width = min(WIDEST, max(1, int(np.ceil(np.log(SPARSE * max(n, 2)) / np.log(2 * max(dim, 2))))))
+    tables = tables_for(dim, width, cosine)
+    links = written(_links(written(_hashed(classes, width, tables, kind), "hashed"), cosine, tables, kind), "links")
     counts = links.groupBy("class").agg(F.sum("n").alias("n"))
     parts = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     of_class = classes.select("class", "id", "times").join(counts, "class", "left").join(parts, F.col("id") == F.col("node"), "left")
-    of_class = of_class.select("class", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = every.select("vec_id", "class").join(of_class, "class", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of_class = written(of_class.select("class", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "classes")
+    out = spread_join(every.filter("class is not null").select("vec_id", "class"), of_class, ["class"], "times", None, n_rows)
+    alone = every.filter("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
     odd = vectors.filter("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(odd).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -23,18 +23,20 @@ def test_hadamard_keeps_lengths_and_angles():
     assert np.allclose(x @ x.T, y @ y.T, atol=1e-3)
 
 
-@pytest.mark.parametrize("width", [1, 2, 3])
-def test_pairs_at_the_limit_meet(width):
-    r = np.random.default_rng(width)
-    x = r.normal(size=(4000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = r.normal(size=x.shape)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    a, b = D.codes(x, width, D.TABLES[width]), D.codes(y, width, D.TABLES[width])
-    met = ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1)
-    assert met.mean() > 0.99
+@pytest.mark.parametrize(("dim", "width"), [(2, 1), (24, 2), (64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (384, 1), (384, 2), (384, 3), (384, 4), (768, 2), (768, 3), (768, 4), (1024, 3), (1024, 4), (1536, 3)])
+def test_pairs_at_the_limit_meet(dim, width):
+    n = 200 if dim > 64 else 1000
+    x, y = D.pairs_at(dim, 0.9, n, seed=dim + width)
+    assert np.allclose((x * y).sum(axis=1), 0.9)
+    tables = D.tables_for(dim, width, 0.9)
+    met = D.meet(D.codes(x, width, tables), D.codes(y, width, tables)).any(axis=1)
+    assert met.mean() >= 0.97
+
+
+def test_widths_of_large_collections_are_tested():
+    """A hundred thousand million vectors of 64 dimensions need a width of 6, of 384 or more one of 4."""
+    for dim, widest in ((64, 6), (384, 4), (768, 4), (1024, 4)):
+        assert np.ceil(np.log(D.SPARSE * 1e11) / np.log(2 * dim)) <= widest <= D.WIDEST
 
 
 @pytest.mark.parametrize(("block", "width"), [(1000, 2), (1000, 3), (7, 2)])
