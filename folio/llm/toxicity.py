@@ -4,8 +4,9 @@ Labels are of documents, so tokens are labelled first: a word or stem is toxic t
 than chance would put it in, hardly ever in others, and between ever other neighbours. The last keeps out what only copies of one text
 share. Its places in toxic texts are tagged 1, all else 0. The CRF learns from windows of these tokens, by
 features of each word, its stems and both neighbours, and from the tag before. Forward and backward messages give each
-token's marginal. A text's sum of marginals, that is its expected number of toxic tokens, gives its score by
-a logistic curve that is fitted on the labelled sample.
+token's marginal p. A text's sum of p squared over all tokens, that is how many tokens two independent taggings both
+mark on average, gives its score by a logistic curve. The curve is fitted on a fifth of the labelled sample, which the CRF does
+not learn from.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnum as X
 from .common import written
@@ -27,8 +29,10 @@ BITS = 17
 HEADS = (4, 5, 6)
 FEATURES = 3 + len(HEADS)
 WINDOW = 48
-#: Expected toxic tokens of a text that has none.
+#: Toxic tokens that a text without any counts as having.
 LEAST = 0.02
+#: Tokens of one stretch of a long text, and how far a marginal may be off where stretches meet.
+STRETCH, SLIGHT = 4096, 1e-9
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,6 @@ class Bounds:
     clean_docs: int = 12000
     toxic_windows: int = 12000
     clean_windows: int = 12000
-    candidates: int = 200000
     #: How many toxic texts a word must stand in to be taken for toxic, however many there are: a rare language has few.
     least_texts: int = 3
     #: Of the words taken for toxic, how many may be so by chance (Benjamini and Hochberg 1995), as words of mislabelled texts are.
@@ -86,8 +89,32 @@ def _log_mix(a: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.logaddexp(turn[0, 1], turn[1, 1] + a) - np.logaddexp(turn[0, 0], turn[1, 0] + a)
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """P(tag 1) of each token; ``first``: n + 1, tokens before each sequence. All sequences step together, the longest first."""
+def reach(turn: np.ndarray) -> int:
+    """Tokens after which what stood before no longer moves a log ratio by more than SLIGHT.
+
+    A step shrinks any difference of log ratios by tanh(d / 4) at least, d being the log cross ratio of the moves
+    (Birkhoff 1957), and leaves none above d.
+    """
+    d = abs(turn[0, 0] + turn[1, 1] - turn[0, 1] - turn[1, 0])
+    return 1 if d <= SLIGHT else 2 + int(np.ceil(np.log(SLIGHT / d) / np.log(np.tanh(d / 4))))
+
+
+def marginals(emission: np.ndarray, first: np.ndarray, turn: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+    """P(tag 1) of each token; ``first``: n + 1, tokens before each sequence. Long ones are cut into stretches that overlap by ``reach``."""
+    size = np.diff(first)
+    if not len(size) or size.max() <= 2 * stretch:
+        return _marginals(emission, first, turn)
+    more, parts = reach(turn), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        cuts = [*range(a, b, stretch)] if b - a > 2 * stretch else [a]
+        parts += [(max(a, c - more), min(b, e + more), c, e) for c, e in zip(cuts, [*cuts[1:], b], strict=True)]
+    places = np.concatenate([[0], np.cumsum([hi - lo for lo, hi, _, _ in parts])])
+    found = _marginals(np.concatenate([emission[lo:hi] for lo, hi, _, _ in parts]), places, turn)
+    return np.concatenate([found[at + c - lo : at + e - lo] for at, (lo, _, c, e) in zip(places.tolist(), parts, strict=False)])
+
+
+def _marginals(emission: np.ndarray, first: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """All sequences step together, the longest first."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     begin, length = first[:-1][order], size[order]
@@ -163,25 +190,25 @@ def _places(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "unit long, around long, doc_id long")
 
 
-def _texts_with(sample: DataFrame, found: np.ndarray) -> np.ndarray:
-    """In how many texts each unit stands: a small vector a task, summed."""
+def _texts_with(sample: DataFrame) -> DataFrame:
+    """unit, n: in how many texts a word or stem stands; summed in each piece before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, n = X.Lookup(found), np.zeros(len(found), dtype=np.int64)
         for _, data, at in X.pieces(batches):
             w = X.words(data, at, X.ALNUM)
-            pairs = []
-            for unit in units(w):
-                place = lookup.find(unit)
-                pairs.append(np.unique(w.row[place >= 0].astype(np.int64) * len(found) + place[place >= 0]))
-            n += np.bincount(np.unique(np.concatenate(pairs)) % max(len(found), 1), minlength=len(found))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["place", "n"])
-
-    out = np.zeros(len(found), dtype=np.int64)
-    for r in sample.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # bounds.candidates rows at most
-        out[r.place] = r.n
-    return out
+            own = units(w)
+            new = [np.full(len(unit), not k) | (unit != own[0]) for k, unit in enumerate(own)]
+            unit, row = np.concatenate([u[k] for u, k in zip(own, new, strict=True)]), np.concatenate([w.row[k] for k in new])
+            order = np.lexsort((row, unit))
+            unit, row = unit[order], row[order]
+            other = np.ones(len(unit), dtype=bool)
+            other[1:] = unit[1:] != unit[:-1]
+            begin = np.flatnonzero(other)
+            other[1:] |= row[1:] != row[:-1]
+            n = np.add.reduceat(other.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(unit[begin])), pa.array(n)], names=["unit", "n"])
+
+    return sample.mapInArrow(run, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _log_tail(n: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
@@ -208,16 +235,16 @@ def seeds(sample: DataFrame, n_toxic: int, n_clean: int, bounds: Bounds = Bounds
     around = places.groupBy("unit", "around").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("kinds"))
     texts = places.groupBy("unit", "doc_id").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("texts"))
     known = texts.join(around, "unit").select("unit", F.least("texts", "kinds").alias("n"))
-    counted = Observation()
-    known = known.filter(F.col("n") >= bounds.least_texts).observe(counted, F.count(F.lit(1)).alias("tested"))
-    # Fewer texts than this do not reach the log odds even if no clean text has the word: they need not come to the driver.
+    known = written(known.filter(F.col("n") >= bounds.least_texts), "toxic-words")
+    tested = known.count()
+    # Fewer texts than this do not reach the log odds even if no clean text has the word.
     least = 0.5 * np.exp(4) * (n_toxic + 1) / (n_clean + 1) - 0.5
-    known = known.filter(F.col("n") >= float(least) - 1e-6).orderBy(F.desc("n"), "unit").limit(bounds.candidates).toPandas()
-    tested = counted.get["tested"]
-    found, n = known.unit.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(float)
-    clean = _texts_with(sample.filter("toxic = 0"), found)
-    odd = np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)) >= 4
-    found, tail = found[odd], _log_tail(n[odd], n[odd] + clean[odd], n_toxic / max(n_toxic + n_clean, 1))
+    clean = _texts_with(sample.filter("toxic = 0")).withColumnRenamed("n", "clean")
+    odds = F.log((F.col("n") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    known = known.filter(F.col("n") >= float(least) - 1e-6).join(clean, "unit", "left").fillna(0, ["clean"]).filter(odds >= 4)
+    known = known.orderBy("unit").toPandas()  # words of a bounded sample that hardly any clean text has
+    found, n, clean = known.unit.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(float), known.clean.to_numpy(float)
+    tail = _log_tail(n, n + clean, n_toxic / max(n_toxic + n_clean, 1))
     order = np.sort(tail)
     passing = np.flatnonzero(order <= np.log(bounds.chance * np.arange(1, len(order) + 1) / max(tested, 1)))
     return found[tail <= order[passing[-1]]] if len(passing) else found[:0]
@@ -253,8 +280,8 @@ def _windows(sample: DataFrame, found: np.ndarray) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Crf:
     """Learns from rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, up to ``bounds``, chosen by a hash of doc_id.
 
-    Rows of ``labels`` with nulls are skipped; of several for one doc_id the largest holds. Without a toxic label
-    the model finds nothing.
+    Rows of ``labels`` with nulls are skipped; of several for one doc_id the largest holds. Of several rows of ``docs`` with
+    one doc_id the least text is learned from. Without a toxic label the model finds nothing.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = []
@@ -262,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Crf:
         chosen.append(known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     chosen = chosen[0].unionByName(chosen[1])
     picked = F.broadcast(chosen)  # bounds.toxic_docs + bounds.clean_docs rows at most
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id"), "toxic-sample")
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(5)) == 0).alias("curve")), "toxic-sample")
+    for_curve, sample = sample.filter("curve"), sample.filter("not curve")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     found = seeds(sample, n.get(1, 0), n.get(0, 0), bounds)
     windows = _windows(sample, found)
@@ -270,8 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Crf:
     rows = taken[0].unionByName(taken[1]).select("x", "y").toPandas()  # so many windows at most
     x = np.stack([np.frombuffer(v, np.int32).reshape(FEATURES, WINDOW) for v in rows.x]) if len(rows) else np.zeros((0, FEATURES, WINDOW), np.int32)
     y = np.stack([np.frombuffer(v, np.uint8) for v in rows.y]) if len(rows) else np.zeros((0, WINDOW), np.uint8)
-    crf = train(x, y)
-    seen = tag(sample.select("doc_id", "text"), crf).select("doc_id", "expected").join(F.broadcast(chosen), "doc_id").select("expected", "toxic").toPandas()  # the sample's rows
+    crf = train(x, y) if y.any() else Crf(np.zeros((FEATURES, 1 << BITS)), -20.0, np.zeros((2, 2)))
+    seen = tag(for_curve.select("doc_id", "text"), crf).select("doc_id", "expected").join(F.broadcast(chosen), "doc_id").select("expected", "toxic").toPandas()  # a fifth of the sample's rows
     if len(seen):
         crf.curve = _logistic(np.log(seen.expected.to_numpy() + LEAST), seen.toxic.to_numpy(float))
     return crf
@@ -286,13 +314,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(w[0]), max(float(w[1]), 0.0)
 
 
-SUSPECT, SPAN = 0.05, 0.5
+#: Marginal from which a token is part of a span.
+SPAN = 0.5
 
 
 def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, score, expected (toxic tokens), spans (start, stop in code points, mean marginal).
+    """A row for each row of ``docs`` (doc_id, text): doc_id, score, expected (sum of squared marginals), spans (start, stop in code points, mean marginal).
 
-    With ``carry``, those columns of ``docs``, text among them, and _score instead: a row for each row, with no join.
+    With ``carry``, those columns of ``docs``, text among them, and as the last one the score instead: a row for each row, with no join.
     Null and empty texts have the lowest score and no spans; repeated rows are scored each; other columns are ignored.
     """
     small = Crf(crf.emit.astype(np.float32), crf.bias, crf.turn, crf.curve)
@@ -303,8 +332,7 @@ def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
         for batch, data, at in X.pieces(batches, limit=2 << 20):
             w = X.words(data, at, X.ALNUM)
             p = marginals(own.emissions(features(w, units(w))), w.first, own.turn) if len(w.start) else np.zeros(0)
-            odd = np.flatnonzero(p >= SUSPECT)
-            expected = np.bincount(w.row[odd], p[odd], batch.num_rows) if len(odd) else np.zeros(batch.num_rows)
+            expected = np.bincount(w.row, p * p, batch.num_rows) if len(p) else np.zeros(batch.num_rows)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             last = None
             for i in np.flatnonzero(p >= SPAN):
@@ -334,10 +362,12 @@ def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
                 batch = whole.slice(start, 1000)
                 texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
                 p = pa.concat_arrays([x.column("score") for x in run(iter([texts]))])
-                yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*carry, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*carry, score_name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry).mapInArrow(scores, f"{kinds}, _score double")
+    score_name = "_score"
+    while score_name in carry:
+        score_name += "_"
+    return docs.select(*carry).mapInArrow(scores, T.StructType([*docs.select(*carry).schema.fields, T.StructField(score_name, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

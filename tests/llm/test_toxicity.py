@@ -24,6 +24,16 @@ def test_marginals_against_all_taggings():
             assert np.allclose(got[a:b], own / total)
 
 
+def test_stretches_of_long_texts_give_the_same_marginals():
+    r = np.random.default_rng(6)
+    for turn in (r.normal(size=(2, 2)), np.array([[2.0, -2.0], [-2.0, 2.0]]), np.zeros((2, 2))):
+        sizes = [900, 3, 0, 2000, 1500]
+        e, first = r.normal(size=sum(sizes)) * 2 - 1, np.concatenate([[0], np.cumsum(sizes)])
+        whole = toxicity.marginals(e, first, turn)
+        assert toxicity.reach(turn) < 700
+        assert np.abs(whole - toxicity.marginals(e, first, turn, stretch=100)).max() < 1e-8
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     plain, bad = [f"w{i}" for i in range(300)], ["vileone", "viletwo", "grumblat", "grumbler"]
