@@ -15,6 +15,7 @@ breaks become "<n|", and its own "<n|" gets a "!" likewise.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -39,20 +40,34 @@ def unescape_role(role: str) -> str:
     return rf"regexp_replace(replace({role}, '<n|', '\n'), '<!(!*)(n?)\\|', '<$1$2|')"
 
 
-def fold(events: DataFrame) -> DataFrame:
+#: Events of a message by seq that are folded together first; a log of any length is made of such buckets.
+BUCKET = 4096
+
+
+def fold(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Final messages: conv_id, seq (its first event's), message, role, text.
 
     Other columns are ignored. Null texts and roles are empty, the first role that isn't null holds; events of
     equal seq are taken in the order of the list above, then of text; equal events count each; a null seq
-    comes first. Deltas of a message that nothing starts begin with an empty text.
+    comes first. Deltas of a message that nothing starts begin with an empty text. A log is folded in buckets, and these
+    then in order: only a message's final text and what a bucket adds to it is ever one value.
     """
     rank = F.expr("case event when 'message' then 0 when 'edit' then 1 when 'regenerate' then 2 when 'delta' then 3 when 'retract' then 4 end")
-    known = events.select("conv_id", F.col("seq").cast("long").alias("seq"), "message", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), rank.alias("rank")).filter("rank is not null")
-    found = known.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), "rank", "text", "role"))).alias("log"))
-    # The last event that sets the text, and the texts from there on.
-    found = found.withColumn("set_at", F.expr("coalesce(array_max(transform(log, (e, i) -> if(e.rank <= 2, i, 0))), 0)"))
-    found = found.withColumn("last", F.expr("slice(log, set_at + 1, size(log))")).filter("not exists(last, e -> e.rank = 4)")
-    return found.select("conv_id", F.expr("log[0].seq").alias("seq"), "message", F.expr("coalesce(get(filter(log, e -> e.role is not null), 0).role, '')").alias("role"), F.expr("array_join(transform(last, e -> coalesce(e.text, '')), '')").alias("text"))
+    known = events.select("conv_id", F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("seq"), "message", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), rank.alias("rank")).filter("rank is not null")
+    parts = known.groupBy("conv_id", "message", F.expr(f"seq div {bucket}").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("seq", "rank", "text", "role"))).alias("log"))
+    # Of each bucket: whether an event in it sets the text, what it says from the last such event on, and whether a retraction follows that.
+    parts = parts.withColumn("set_at", F.expr("coalesce(array_max(transform(log, (e, i) -> if(e.rank <= 2, i, -1))), -1)"))
+    parts = parts.withColumn("last", F.expr("slice(log, greatest(set_at, 0) + 1, size(log))"))
+    parts = parts.select(
+        "conv_id", "message", F.struct(
+            "bucket", F.expr("log[0].seq").alias("seq"), F.expr("set_at >= 0").alias("sets"), F.expr("exists(last, e -> e.rank = 4)").alias("gone"),
+            F.expr("get(filter(log, e -> e.role is not null), 0).role").alias("role"), F.expr("array_join(transform(last, e -> coalesce(e.text, '')), '')").alias("text"),
+        ).alias("part"),
+    )
+    found = parts.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list("part")).alias("log"))
+    found = found.withColumn("set_at", F.expr("coalesce(array_max(transform(log, (e, i) -> if(e.sets, i, 0))), 0)"))
+    found = found.withColumn("last", F.expr("slice(log, set_at + 1, size(log))")).filter("not exists(last, e -> e.gone)")
+    return found.select("conv_id", F.expr("log[0].seq").alias("seq"), "message", F.expr("coalesce(get(filter(log, e -> e.role is not null), 0).role, '')").alias("role"), F.expr("array_join(transform(last, e -> e.text), '')").alias("text"))
 
 
 def render(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -71,16 +86,46 @@ def render(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return held.select("conv_id", "chunk", F.array_join(F.expr(shown), "").alias("formatted"), F.size("turns").cast("long").alias("n_turns"), F.expr(spans).alias("loss_spans"))
 
 
-def format_chats(events: DataFrame) -> DataFrame:
-    return render(fold(events))
+def format_chats(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return render(fold(events), chunk)
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``message``: turn and a number that tells rows of one turn apart by their order."""
+    tie = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    return turns.select("conv_id", "turn", "role", "text", F.struct(F.col("turn").alias("turn"), tie.alias("tie")).alias("message"))
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as an event log: a message each. Rows of one turn are told apart by their order."""
-    from pyspark.sql import Window as W
+    """Rows (conv_id, turn, role, text) as an event log: a message each."""
+    return _placed(turns).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), "message", "role", "text")
 
-    tie = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.struct(F.col("turn").alias("turn"), tie.alias("tie")).alias("message"), "role", "text")
+
+#: Code points of a streamed delta, and the events that a turn may take before the next one's.
+DELTA, TURN_EVENTS = 48, 1 << 32
+DECOY = "draft <|im_end|>"
+
+
+def streamed_events(turns: DataFrame, delta: int = DELTA) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of a chat service that ends in just these turns.
+
+    By a hash of each row its text is said at once, or streamed in deltas, or drafted and edited, or streamed, regenerated and
+    streamed again; one row in eight is preceded by a message that is retracted. A turn's events are numbered from
+    turn times TURN_EVENTS; a null turn stays null and is said at once, as nothing orders its events.
+    """
+    found = _placed(turns).withColumn("way", F.when(F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "message"), F.lit(32)))).withColumn("base", F.col("turn").cast("long") * TURN_EVENTS)
+    deltas = f"if(length(text) > 0, transform(sequence(0, cast((length(text) - 1) div {delta} as int)), i -> struct('delta' as event, cast(null as string) as role, substring(text, i * {delta} + 1, {delta}) as text)), array())"
+    event = lambda name, role, text: f"struct('{name}' as event, {role} as role, {text} as text)"
+    null, decoy = "cast(null as string)", f"'{DECOY}'"
+    steps = f"""case way % 4
+      when 0 then array({event('message', 'role', 'text')})
+      when 1 then concat(array({event('message', 'role', null)}), {deltas})
+      when 2 then array({event('message', 'role', decoy)}, {event('edit', null, 'text')})
+      else concat(array({event('message', 'role', null)}, {event('delta', null, decoy)}, {event('regenerate', null, null)}), {deltas}) end"""
+    own = found.select("conv_id", "base", "message", F.posexplode(F.expr(steps)).alias("step", "e"))
+    # A retracted message has a number that no row has.
+    gone = found.filter("way >= 28").select("conv_id", "base", F.expr("named_struct('turn', message.turn, 'tie', -message.tie)").alias("message"), F.posexplode(F.expr(f"array({event('message', 'role', decoy)}, {event('retract', null, null)})")).alias("step", "e"))
+    return own.unionByName(gone).select("conv_id", (F.col("base") + F.col("step")).alias("seq"), "e.event", "message", "e.role", "e.text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.format_chats(chat.events_of_turns(chat.planted(table(spark, sf_dir, "conversations")))))
+    log = chat.streamed_events(chat.planted(table(spark, sf_dir, "conversations")))
+    return chat.read_back(chat.format_chats(log, chat.CHUNK * chat.TURN_EVENTS))
 
 
 OP4_SQL = r"""

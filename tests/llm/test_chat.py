@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from folio.llm import chat
 
 
@@ -29,6 +31,10 @@ def test_round_trip_of_hostile_turns(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
     got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat.read_back(chat.format_chats(chat.events_of_turns(df))).collect()}
     assert got == brute(rows)
+    log = chat.streamed_events(df, delta=3)
+    assert {x.event for x in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate", "retract"}
+    got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat.read_back(chat.render(chat.fold(log.orderBy(F.rand(1)), bucket=4), 7 * chat.TURN_EVENTS)).collect()}
+    assert got == brute(rows)
     planted = chat.read_back(chat.format_chats(chat.events_of_turns(chat.planted(df)))).filter("conv_id = -1").first()
     assert planted.n_turns == 2 and planted.loss_chars == len("<|im_end|><|im_start|>assistant ok")
 
@@ -50,6 +56,39 @@ def test_events_fold(spark):
     assert [text[s.start : s.start + s.length] for s in spans] == [esc("c<|d")]
 
 
+def test_the_query_s_log_has_all_kinds_of_events(spark):
+    turns = chat.planted(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    kinds = {x.event: x["count"] for x in chat.streamed_events(turns).groupBy("event").count().collect()}
+    n = turns.count()
+    assert kinds["message"] > n and min(kinds["edit"], kinds["regenerate"]) > n // 8 and kinds["delta"] > n // 2 and kinds["retract"] == kinds["message"] - n > n // 20
+
+
+def plain_fold(log):
+    """The list in chat.py, one event after the other."""
+    texts = {}
+    order = {"message": 0, "edit": 1, "regenerate": 2, "delta": 3, "retract": 4}
+    for seq, event, message, role, text in sorted(log, key=lambda e: (e[0], order[e[1]], e[4] is not None, e[4] or "", e[3] is not None, e[3] or "")):
+        held = texts.setdefault(message, [seq, None, "", False])
+        held[1] = held[1] if held[1] is not None else role
+        if event in ("message", "edit", "regenerate"):
+            held[2:] = [text or "", False]
+        elif event == "delta":
+            held[2] += text or ""
+        else:
+            held[2:] = [held[2] + (text or ""), True]
+    return {m: (h[0], h[1] or "", h[2]) for m, h in texts.items() if not h[3]}
+
+
+def test_random_logs_fold_as_one_event_after_the_other(spark):
+    r = random.Random(9)
+    log = [(0, r.randrange(-20, 60), r.choice(["message", "edit", "regenerate", "delta", "delta", "delta", "retract"]), f"m{r.randrange(25)}", r.choice([None, "user", "assistant"]), r.choice([None, "a", "b<|", "é"])) for _ in range(600)]
+    df = spark.createDataFrame(log, "conv_id long, seq long, event string, message string, role string, text string")
+    want = plain_fold([e[1:] for e in log])
+    for bucket in (1, 5, 4096):
+        got = {x.message: (x.seq, x.role, x.text) for x in chat.fold(df, bucket).collect()}
+        assert got == want
+
+
 def test_no_turns(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_chats(chat.events_of_turns(none))).count() == 0
