@@ -72,20 +72,23 @@ def _string_edges(df: DataFrame, name: str, cells: int) -> list[str]:
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], tie: list[str], shards: int = 24, bits: int = BITS) -> DataFrame:
-    """``df`` with hilbert, shard and slot. Counts of shards differ by one at most.
+    """``df`` with hilbert, shard and slot; columns of these names that ``df`` has are replaced, all others stay whatever
+    their names. Counts of shards differ by one at most.
 
-    Null values of a dimension have its lowest cell; equal rows are ranked in any order, once; an empty table
-    stays empty. Keep ``df`` narrow: it is written once, sorted, to fix ranks for all later reads.
+    Null values of a dimension have its lowest cell; strings count whole, however long; equal rows are ranked in any order,
+    once; an empty table stays empty. Keep ``df`` narrow: it is written twice, as it is and in order, so that it is computed
+    once and ranks are fixed for all later reads.
     """
-    narrow = df.select("*", *[_value(df, d).alias(f"_dim{i}") for i, d in enumerate(dimensions)])
+    names = [f"dim{i}" for i in range(len(dimensions))]
+    held = written(df, "rows")
+    packed = held.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), *[_value(held, d).alias(n) for n, d in zip(names, dimensions, strict=True)])
     steps = (1 << bits) - 1
     share = [(k + 1) / (steps + 1) for k in range(steps)]
-    names = [f"_dim{i}" for i in range(len(dimensions))]
-    strings = {n for n in names if isinstance(narrow.schema[n].dataType, T.StringType)}
+    strings = {n for n in names if isinstance(packed.schema[n].dataType, T.StringType)}
     numbers = [F.percentile_approx(F.when(F.col(n) > float("-inf"), F.col(n)), share, ACCURACY).alias(n) for n in names if n not in strings]
-    found = narrow.agg(*numbers).first().asDict() if numbers else {}
+    found = packed.agg(*numbers).first().asDict() if numbers else {}
     # Bounded: 2**bits a dimension.
-    edges = [_string_edges(narrow, n, steps + 1) if n in strings else np.unique(np.array(found[n] if found[n] is not None else [], dtype=float)) for n in names]
+    edges = [_string_edges(packed, n, steps + 1) if n in strings else np.unique(np.array(found[n] if found[n] is not None else [], dtype=float)) for n in names]
 
     @F.pandas_udf("long")
     def index(cols: pd.DataFrame) -> pd.Series:
@@ -93,16 +96,16 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], tie: list[str], shards:
         cells = np.stack(own, axis=1)
         return pd.Series(hilbert_index(cells, bits))
 
-    placed = narrow.withColumn("hilbert", index(F.struct(*names))).drop(*names)
-    order = ["hilbert", *tie]
-    sorted_ = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "hilbert")
-    part, own = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
-    every = W.Window.orderBy("_part")
-    counts = counts.select("_part", (F.sum("_n").over(every) - F.col("_n")).alias("_before"), F.sum("_n").over(W.Window.partitionBy()).alias("_all"))
-    rank = (F.col("_before") + own).cast("long")
-    ranked = sorted_.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("_rank", rank)
+    placed = packed.withColumn("hilbert", index(F.struct(*names))).drop(*names)
+    order = [F.col("hilbert"), *[F.col(f"row.`{c}`") for c in tie]]
+    sorted_ = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "hilbert")
+    part, own = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("own"))  # a row a partition
+    every = W.Window.orderBy("part")
+    counts = counts.select("part", (F.sum("own").over(every) - F.col("own")).alias("before"), F.sum("own").over(W.Window.partitionBy()).alias("all"))
+    ranked = sorted_.withColumn("part", part).join(F.broadcast(counts), "part").withColumn("rank", (F.col("before") + own).cast("long"))
     # Shard s begins at the first rank r with r * shards >= s * n.
-    shard = F.expr(f"_rank * {shards} div _all")
-    begin = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - begin).drop("_part", "_row", "_before", "_all", "_rank")
+    ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div all").cast("int"))
+    slot = F.col("rank") - F.expr(f"(shard * all + {shards - 1}) div {shards}")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in held.columns if c not in ("hilbert", "shard", "slot")]
+    return ranked.select(*kept, "hilbert", "shard", slot.alias("slot"))
