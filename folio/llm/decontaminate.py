@@ -184,5 +184,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without those that hold a benchmark item. Rows without doc_id stay."""
-    return docs.join(matches(docs, benchmark, rate).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds a benchmark item within its budget. Each row is judged where it is scanned, by its
+    own text: rows without doc_id and repeated ones too. Null and empty texts stay; columns of any name are carried along.
+    """
+    spark = docs.sparkSession
+    if "text" not in docs.columns:
+        raise ValueError("no column text")
+    schema = docs.schema
+    for items in _blocks(benchmark, rate):
+        shared = spark.sparkContext.broadcast((items.ids, items.words))  # BLOCK_WORDS words at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value, rate)
+            for batch, data, at in X.pieces(batches):
+                w = X.words(*folded(data, at), X.ALNUM)
+                h, keep = w.hashes(), np.ones(batch.num_rows, dtype=bool)
+                for (r, t), begins in items.hits(h, w.row).items():
+                    if keep[r] and items.best(t, begins, h, int(w.first[r]), int(w.first[r + 1])):
+                        keep[r] = False
+                if keep.any():
+                    yield batch if keep.all() else batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
