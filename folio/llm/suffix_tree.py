@@ -8,7 +8,8 @@ retained one. A symbol's probability in a retained context is smoothed with that
 at each place.
 
 Counts, the tree and word counts are tables that grow with the corpus. Scoring has the tree, and counts of frequent words, as
-arrays on each executor while they are below a stated size; beyond it the tree is joined, and rare words always are.
+arrays on each executor while they are below a stated size; beyond it frequent grams alone are scored there and the rest are
+joined with the tree, as rare words always are with their counts. All are doubles, so either way gives the same score.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from .common import written
 DEPTH = 6
 #: Nats by which a context must describe its next symbols better than its suffix does, by each kind of next symbol.
 DIVERGENCE = 2.0
-#: Rows of the tree that executors hold as arrays, 16 bytes each; a larger one is joined instead.
-MOST_ROWS = 8_000_000
-#: Frequent words that executors hold; all others are joined.
+#: Rows of the tree that executors hold as arrays, about 27 bytes each with their table; a larger one is joined instead.
+MOST_ROWS = 6_000_000
+#: Frequent words, and beyond MOST_ROWS frequent grams, that executors hold; all others are joined.
 MOST_WORDS = 500_000
 _SPACE, _END = 0x20, 0x0A
 _HELD = 3_000_000
@@ -204,7 +205,18 @@ def _with_zero(tagged: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def tagged(rows: DataFrame) -> DataFrame:
     """A tree's rows as (level in the top byte and key, value)."""
-    return rows.select(F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.col("key")).alias("tagged"), F.col("value").cast("float"))
+    return rows.select(F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.col("key")).alias("tagged"), "value")
+
+
+def _frequent(counted: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """The rows of the largest counts, ``most`` at most: whole counts, from the one on that still fits."""
+    least, total = None, 0
+    for r in counted.groupBy(F.col(n).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).toLocalIterator():
+        total += r.k
+        if total > most:
+            break
+        least = r.c
+    return counted.filter(F.col(n) >= (least if least is not None else 1 << 62)).select(key, n)
 
 
 def _joined_scores(codes: DataFrame, rows: DataFrame, total: int, depth: int) -> DataFrame:
@@ -238,22 +250,20 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
     rows = tree(counted.filter("kind = 0"), depth, divergence)
     size = rows.count()
     total = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    # The most frequent words, as many as the bound allows: a row a count decides from which count on.
-    by_count = words.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c"))
-    least, sum_ = None, 0
-    for r in by_count.toLocalIterator():
-        sum_ += r.k
-        if sum_ > most_words:
-            break
-        least = r.c
-    frequent = _packed(words.filter(F.col("c") >= (least if least is not None else 1 << 62)), "<i8")  # most_words rows at most
+    frequent = _packed(_frequent(words, "word", "c", most_words), "<i8")  # most_words rows at most
     whole = size <= most_rows
-    shared = spark.sparkContext.broadcast((frequent[0].view(np.uint64), frequent[1], *(_with_zero(*_packed(tagged(rows), "<f4")) if whole else ())))
+    if whole:
+        known_p = _with_zero(*_packed(tagged(rows), "<f8"))  # most_rows rows at most
+    else:
+        grams_ = _frequent(counted.filter("kind = 0"), "key", "n", most_words).select(F.col("key").alias("gram"))
+        known_p = _packed(_joined_scores(grams_, rows, total, depth), "<f8")  # most_words rows at most
+    shared = spark.sparkContext.broadcast((frequent[0].view(np.uint64), frequent[1], *known_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, c, *own_tree = shared.value
+        word, c, *known_p = shared.value
         lookup = X.Lookup(word)
-        model = Tree(*own_tree, total, depth) if whole else None
+        model = Tree(*known_p, total, depth) if whole else None
+        grams_known = None if whole else X.Lookup(known_p[0].view(np.uint64))
         known_log = np.log10((c + 1) / below)
         end_log = np.log10((n_texts + 1) / below)
         for batch, data, at in X.pieces(batches):
@@ -266,13 +276,15 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
             symbols, begin, own = stream(w, depth)
             code = grams(symbols, own, depth)
             length = np.diff(np.append(begin, len(symbols))) - depth
+            text = np.repeat(np.arange(n), length)
             if whole:
-                p = model.score(code)
-                sums = np.concatenate([[0.0], np.cumsum(p)])
-                stop = np.cumsum(length)
-                value, left = pa.array(sums[stop] - sums[stop - length]), pa.nulls(n, _PAIR["gram"])
+                p, left = model.score(code), pa.nulls(n, _PAIR["gram"])
             else:
-                value, left = pa.array(np.zeros(n)), _pairs("gram", np.repeat(np.arange(n), length), code, n)
+                place = grams_known.find(code)
+                there = place >= 0
+                p = np.where(there, known_p[1][place], 0.0) if len(known_p[1]) else np.zeros(len(code))
+                left = _pairs("gram", text[~there], code[~there], n)
+            value = pa.array(np.bincount(text, p, n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(w.per_row + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), value, _pairs("word", w.row[~hit], h[~hit], n), left], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "grams"])
 
     done = written(narrow.mapInArrow(run, SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -282,6 +294,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
     if not whole:
         every = done.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.n")
         p = written(_joined_scores(every.select("gram").distinct(), rows, total, depth), "gram-scores")
-        out = out.drop("score").join(every.join(p, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("p")).alias("score")), "row", "left")
+        more = every.join(p, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("p")).alias("more_score"))
+        out = out.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     known, base = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("base") + F.coalesce("more_base", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
