@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .rules import AXIS_TICK, CHAPTER_LINE, LEGEND_TITLE, POSITIONS, WATERMARK
 
@@ -172,3 +176,60 @@ def page_list(spec: Column) -> Column:
 def work_key(path: Column) -> Column:
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
     return F.concat(F.substring(stem, 1, 60), F.lit("-"), F.left(F.sha1(path.cast("binary")), F.lit(10)))
+
+
+def clamp_pages(pages: Column, n_pages: Column) -> Column:
+    """(kept, dropped): wanted pages from 0 that the document has, and those outside. Null: all pages."""
+    every = F.when(n_pages > 0, F.sequence(F.lit(0), n_pages.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    wanted = F.coalesce(pages, every)
+    return F.struct(F.filter(wanted, lambda p: (p >= 0) & (p < n_pages)).alias("kept"), F.filter(wanted, lambda p: (p < 0) | (p >= n_pages)).alias("dropped"))
+
+
+# Characters that Markdown may escape with a backslash.
+ESCAPABLE = "\\\\`*_{}\\[\\]()#+\\-.!<>|~\"'$&:;=?@^/,"
+
+
+def restore_escaped(markdown: Column, found: Column) -> Column:
+    """``markdown`` with the backslashes gone that a renderer put into literals (an array): the longest first. A literal that
+    stands anywhere as it is, is left alone.
+    """
+    longest = F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    pattern = lambda x: F.regexp_replace(x, f"([{ESCAPABLE}])", r"\\\\?\\Q$1\\E")
+    plain = lambda x: F.regexp_replace(x, r"([\\$])", r"\\$1")
+    return F.aggregate(longest, markdown, lambda text, x: F.when(F.contains(text, x), text).otherwise(F.regexp_replace(text, pattern(x), plain(x))))
+
+
+# Fixed value: the element of a web engine's answer that holds the translation.
+RESULT = r'(?s)class="(?:t0|result-container)">(.*?)<'
+
+
+def result_container(page: Column) -> Column:
+    """What the first result element of a web engine's answer holds, entities resolved. Null: there is none."""
+    return unescape_html(F.nullif(F.regexp_extract(page, RESULT, 1), F.lit("")))
+
+
+@F.pandas_udf(StringType())
+def unescape_html(text: pd.Series) -> pd.Series:
+    return text.map(_html.unescape, na_action="ignore")
+
+
+def summary(translated: Column, cached: Column, total: Column) -> Column:
+    return F.concat_ws("/", (translated + cached).cast("string"), total.cast("string"))
+
+
+def plural_class(n: Column) -> Column:
+    """Which of Arabic's six forms a number takes."""
+    rest = F.pmod(n, F.lit(100))
+    return F.when(n == 0, "zero").when(n == 1, "one").when(n == 2, "two").when(rest.between(3, 10), "few").when(rest.between(11, 99), "many").otherwise("other")
+
+
+def duration(seconds: Column) -> Column:
+    """Hours, minutes and seconds, from the first that is not zero: 1:02:03, 2:03 or 0:03."""
+    whole = F.floor(seconds).cast("long")
+    h, m, s = F.floor(whole / 3600).cast("long"), F.pmod(F.floor(whole / 60), F.lit(60)).cast("int"), F.pmod(whole, F.lit(60)).cast("int")
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+
+
+def file_label(path: Column) -> Column:
+    """A file's name for a right-to-left line: a left-to-right mark stands before its suffix."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(\.[^.]*)$", "\u200e$1")
