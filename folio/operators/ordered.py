@@ -68,6 +68,32 @@ def folded(df: DataFrame, group: str, order: list[str], schema: str, begin: Call
     return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], schema: str, work: Callable[[tuple, list], Iterator[tuple] | list[tuple]]) -> DataFrame:
+    """``work`` (key, rows) of each group, its rows as named tuples in order: the rows that it gives. One group is held at a time,
+    and many small ones share a batch. ``keys`` come first in ``df``; nulls are None.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    n = len(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, out = None, [], []
+        for frame in frames:
+            frame = frame.astype(object).where(frame.notna(), None) if frame.isna().any(axis=None) else frame
+            for row in frame.itertuples(index=False, name="Row"):
+                if held and row[:n] != key:
+                    out += work(key, held)
+                    held = []
+                key = row[:n]
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if held:
+            yield pd.DataFrame(list(work(key, held)), columns=names)
+
+    return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 # Greedy batches: each takes rows in order until it holds ``most`` of them or would pass ``limit`` characters.
 
 
