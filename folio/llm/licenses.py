@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare words.
 
-Each template keeps its words of highest IDF, which is counted over all files. Where a file has such a word, the word's
-postings tell which templates hold it and where, so every hit says where the template would have to begin.
-Hits of different rare words that agree on that place, within a little slack, make a candidate, which is
+IDF of all licence words is counted over all files. A file that has enough of a template's words is looked up by its own
+words of highest IDF among them: their postings tell where in the template they stand, so every hit says where the template
+would have to begin. Hits of different words that agree on that place, within a little slack, make a candidate, which is
 verified: its mandatory key phrases must stand there word for word, and enough of its words must be there.
 A phrase is a template that is mandatory as a whole: each place of its rarest word is verified exactly.
 """
@@ -50,7 +50,7 @@ def _hashes(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What a scan looks up. ``idf`` of each word of the vocabulary; ``rare``: words of each template in the index."""
+    """What a scan looks up. ``idf`` of each word of the vocabulary; ``rare``: words of a file that are looked up for a template."""
 
     idf: np.ndarray
     phrases: dict[str, str]
@@ -68,15 +68,16 @@ class Index:
         self.keys = [[np.array([place[int(h)] for h in _hashes(k)]) for k in t.keys] for t in self.templates]
         n = len(self.phrases)
         self.anchor = [max(range(len(w)), key=lambda i, w=w: (self.idf[w[i]], -i)) for w in self.words[:n]]
-        #: Postings by word: (template, place of the word in it).
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        self.indexed = []
+        #: Postings by template and word: places of the word in it.
+        self.postings: list[dict[int, list[int]]] = []
+        self.member = np.zeros((len(self.templates), len(self.vocabulary)), dtype=np.float32)
         for t, own in enumerate(self.words[n:]):
-            best = sorted(set(own), key=lambda w: (-self.idf[w], w))[: self.rare]
-            self.indexed.append(len(best))
+            held: dict[int, list[int]] = {}
             for at, w in enumerate(own):
-                if w in best:
-                    self.postings.setdefault(w, []).append((t, at))
+                held.setdefault(w, []).append(at)
+            self.postings.append(held)
+            self.member[t, list(held)] = 1
+        self.least = np.ceil(self.min_share * self.member.sum(axis=1) - 1e-9)
 
     def scan(self, at: np.ndarray, row: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """Finds in words ``at`` (places in the vocabulary, else -1) of ``row``: (template, row, first word, words, share). Phrases come first among templates."""
@@ -89,27 +90,26 @@ class Index:
             for j, w in enumerate(own):
                 begin = begin[at[begin + j] == w]
             out += [(t, int(row[b]), int(b - first[row[b]]), len(own), 1.0) for b in begin]
-        votes: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for w, held in self.postings.items():
-            for b in np.flatnonzero(at == w):
-                for t, place in held:
-                    votes.setdefault((t, int(row[b])), []).append((int(b) - place, w))
-        for (t, r), hits in votes.items():
-            own = self.words[n + t]
-            need = min(2, self.indexed[t])
-            hits.sort()
-            a = 0
+        # Which licence words each file has, and how many of each template's.
+        has = np.zeros((len(first) - 1, len(self.vocabulary)), dtype=bool)
+        known = at >= 0
+        has[row[known], at[known]] = True
+        some = np.flatnonzero(has.any(axis=1))
+        rows, kinds = np.nonzero(has[some].astype(np.float32) @ self.member.T >= self.least) if len(self.templates) else ((), ())
+        for r, t in zip(some[rows].tolist() if len(rows) else (), kinds.tolist() if len(rows) else (), strict=True):
+            here, held = at[first[r] : first[r + 1]], self.postings[t]
+            best = sorted((w for w in held if has[r, w]), key=lambda w: (-self.idf[w], w))[: self.rare]
+            hits = sorted((int(b) - place, w) for w in best for b in np.flatnonzero(here == w) for place in held[w])
+            own, need, a = self.words[n + t], min(2, len(best)), 0
             while a < len(hits):
                 b = a
                 while b + 1 < len(hits) and hits[b + 1][0] - hits[b][0] <= self.slack:
                     b += 1
                 if len({w for _, w in hits[a : b + 1]}) >= need:
-                    low = max(int(first[r]), hits[a][0] - self.slack)
-                    high = min(int(first[r + 1]), hits[b][0] + len(own) + self.slack)
-                    here = at[low:high]
-                    share = len(set(own) & set(here.tolist())) / len(set(own))
-                    if share >= self.min_share and all(_stands(here, k) for k in self.keys[t]):
-                        out.append((n + t, r, max(0, hits[a][0] - int(first[r])), len(own), share))
+                    window = here[max(0, hits[a][0] - self.slack) : max(0, hits[b][0] + len(own) + self.slack)]
+                    share = len(set(own) & set(window.tolist())) / len(held)
+                    if share >= self.min_share and all(_stands(window, k) for k in self.keys[t]):
+                        out.append((n + t, r, max(0, hits[a][0]), len(own), share))
                 a = b + 1
         return out
 
