@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from folio.llm import textnum as X
 from folio.llm import toxicity
@@ -90,3 +91,65 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [x.spans for x in toxicity.tag(docs, toxicity.fit(docs, none)).collect()] == [[], []]
     assert toxicity.tag(docs.filter("false"), toxicity.fit(docs.filter("false"), none)).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_hash(raw):
+    """The hash of a word's bytes, in plain integers."""
+    x = sum(int(X._VALUES[b]) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(raw)) + len(raw) & M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_tags(text, crf):
+    """Score, sum of squared marginals and spans of one text, token by token."""
+    import re
+
+    raw = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode()
+    places = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw)]
+    words = [raw[a:b] for a, b in places]
+    edge = 0x5851F42D4C957F2D
+    e = []
+    for i, w in enumerate(words):
+        own = [plain_hash(w), *(plain_hash(w[:k]) for k in toxicity.HEADS), plain_hash(words[i - 1]) if i else edge, plain_hash(words[i + 1]) if i + 1 < len(words) else edge]
+        at = [(h * (2 * k + 0x9E3779B97F4A7C15) & M64) >> (64 - toxicity.BITS) for k, h in enumerate(own)]
+        e.append(crf.bias + sum(float(np.float32(crf.emit[k][a])) for k, a in enumerate(at)))
+    t = crf.turn
+    ahead, back = [], [0.0] * len(e)
+    for i, x in enumerate(e):
+        ahead.append(x + (0.0 if not i else np.logaddexp(t[0, 1], t[1, 1] + ahead[-1]) - np.logaddexp(t[0, 0], t[1, 0] + ahead[-1])))
+    for i in range(len(e) - 2, -1, -1):
+        a = e[i + 1] + back[i + 1]
+        back[i] = np.logaddexp(t[1, 0], t[1, 1] + a) - np.logaddexp(t[0, 0], t[0, 1] + a)
+    p = [1 / (1 + math.exp(-(a + b))) for a, b in zip(ahead, back, strict=True)]
+    expected = sum(x * x for x in p)
+    spans = []
+    for i, (a, b) in enumerate(places):
+        if p[i] >= toxicity.SPAN:
+            if spans and spans[-1][3] == i - 1:
+                spans[-1][1:] = [b, [*spans[-1][2], p[i]], i]
+            else:
+                spans.append([a, b, [p[i]], i])
+    shown = [(len(raw[:a].decode()), len(raw[:b].decode()), sum(q) / len(q)) for a, b, q, _ in spans]
+    return 1 / (1 + math.exp(-(crf.curve[0] + crf.curve[1] * math.log(expected + toxicity.LEAST)))), expected, shown
+
+
+def test_scores_and_spans_token_by_token(spark, monkeypatch):
+    rows = corpus(400, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    crf = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    r = random.Random(5)
+    bits = ["VileOne", "viletwo", "grumblat,", "é", "ß漢", "w1", "w2.", "w3", "😀", "grumbler"]
+    texts = [None, "", "..", *(" ".join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(60)), " ".join(r.choice(bits[3:9]) for _ in range(9000)) + " vileone"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for row in toxicity.tag(frame, crf).collect():
+        score, expected, spans = plain_tags(texts[row.doc_id], crf)
+        assert (row.score, row.expected) == pytest.approx((score, expected), rel=1e-6, abs=1e-9)
+        assert [(s.start, s.stop) for s in row.spans] == [(a, b) for a, b, _ in spans]
+        assert [s.p for s in row.spans] == pytest.approx([q for _, _, q in spans], abs=1e-6)
+        found += len(spans)
+    assert found > 50
