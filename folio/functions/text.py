@@ -56,9 +56,13 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: An image whose target is a file: the part before, and the file's name.
+FILE_IMAGE = r"(!\[[^\]\n]*\])\((?!https?://|data:)(?:[^)\n]*/)?([^)/\n]+)\)"
+
+
 def local_images(markdown: Column) -> Column:
     """Image targets that are files, as images/<base name>; links to elsewhere and inline data stay."""
-    return F.regexp_replace(markdown, r"(!\[[^\]\n]*\])\((?!https?://|data:)(?:[^)\n]*/)?([^)/\n]+)\)", "$1(images/$2)")
+    return F.regexp_replace(markdown, FILE_IMAGE, "$1(images/$2)")
 
 
 def image_targets(markdown: Column) -> Column:

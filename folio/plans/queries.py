@@ -306,14 +306,14 @@ def translation_report(spark, sf_dir):
 @query()
 def page_segments(spark, sf_dir):
     """Pages to Markdown to segments, counted by kind: the parser has no SQL."""
-    found = segments.segments(segments.blocks(segments.html_pages_to_markdown(_spread(_t(spark, sf_dir, "pages")), "page_id", "html")))
+    found = segments.segments(segments.html_blocks(_spread(_t(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html"))
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("placeholders")).cast("long").alias("n_placeholders"), F.sum(F.length("source")).cast("long").alias("chars"))
 
 
 @query()
 def translated_pages(spark, sf_dir):
     """Pages translated by a repeatable engine and rendered again."""
-    of = segments.blocks(segments.html_pages_to_markdown(_spread(_t(spark, sf_dir, "pages")), "page_id", "html"))
+    of = segments.html_blocks(_spread(_t(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html")
     of = ordered.stored(of)  # read by the segments and by what puts them back
     own = segments.segments(of)
     done = translate.translate_many(own, translate.Reversing())
