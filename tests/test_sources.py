@@ -38,11 +38,12 @@ def test_inline_images(spark):
 def test_a_run_and_its_resumption(spark, tmp_path):
     docs = spark.createDataFrame([(1, "T", BOOK), (2, "U", "")], "doc_id long, title string, markdown string")
     out = book.translate_books(spark, docs, str(tmp_path / "work"))
-    (report,) = out["report"].collect()
+    report, empty = out["report"].orderBy("doc_id").collect()
+    assert (empty.total, empty.summary) == (0, "0/0")
     assert (report.total, report.translated, report.failed, report.problems) == (4, 4, 0, 0)
     text = out["books"].filter("doc_id = 1").first().markdown
     assert "3.2.1 and `x = 1` Text" in text
-    assert out["epubs"].filter("error is null").count() == 1
+    assert out["epubs"].filter("error is null").count() == 2
     before = (tmp_path / "work" / "segments" / "_SUCCESS").stat().st_mtime_ns
     book.translate_books(spark, docs, str(tmp_path / "work"))
     assert (tmp_path / "work" / "segments" / "_SUCCESS").stat().st_mtime_ns == before
