@@ -56,6 +56,18 @@ def remove(df: DataFrame) -> None:
         _written.remove(item)
 
 
+def tables() -> set[str]:
+    """Where all that ``written`` has left stands now: for ``forget``."""
+    return {path for _, path, _ in _written}
+
+
+def forget(before: set[str], *keep: DataFrame) -> None:
+    """Deletes what ``written`` made since ``before`` but for ``keep``, what a result still reads."""
+    for _, path, df in list(_written):
+        if path not in before and not any(df is k for k in keep):
+            remove(df)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

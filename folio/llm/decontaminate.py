@@ -159,8 +159,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """Pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) rows: doc_id, item_id, distance, item_words, stop_word.
 
     A row for each pair of ids within the budget, with the smallest distance and the word (from 0) behind the item's first such end.
-    Case does not count, in any script. Null and empty texts, and items without words, match nothing; rows that share an id count as one; other
-    columns are ignored; empty tables give no rows.
+    Case does not count, in any script. Null and empty texts, and items without words, match nothing; rows that share an id count as one; items and
+    texts may be of any length, as bit vectors grow with an item's words; other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

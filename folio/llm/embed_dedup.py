@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import lean, spread_join, tidy, written
+from .common import forget, lean, spread_join, tables, tidy, written
 from .components import components
 
 #: Share of pairs at the very limit that meet; of closer pairs more do.
@@ -271,17 +271,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int | None =
     without vec_id link with nothing and are kept. Other columns are ignored; an empty table gives no rows.
     """
     kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+    before = tables()
     every = written(describe(vectors.filter("vec_id is not null"), kind), "vectors")
     classes = written(every.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
     n, n_rows, dim = classes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
     if width is None:
         width = min(WIDEST, max(1, int(np.ceil(np.log(SPARSE * max(n, 2)) / np.log(2 * max(dim, 2))))))
-    tables = tables_for(dim, width, cosine)
-    links = written(_links(written(_hashed(classes, width, tables, kind), "hashed"), cosine, tables, kind), "links")
+    n_tables = tables_for(dim, width, cosine)
+    links = written(_links(written(_hashed(classes, width, n_tables, kind), "hashed"), cosine, n_tables, kind), "links")
     counts = links.groupBy("class").agg(F.sum("n").alias("n"))
     parts = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     of_class = classes.select("class", "id", "times").join(counts, "class", "left").join(parts, F.col("id") == F.col("node"), "left")
     of_class = written(of_class.select("class", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "classes")
+    forget(before, every, of_class)
     out = spread_join(every.filter("class is not null").select("vec_id", "class"), of_class, ["class"], "times", None, n_rows)
     alone = every.filter("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import spread_join, written
+from .common import forget, spread_join, tables, written
 from .components import components
 
 SHINGLE = 5
@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     doc_id count as one document, linked through either text. Rows without doc_id link with nothing and are
     kept. Other columns are ignored; an empty table gives no rows.
     """
+    before = tables()
     every = written(describe(docs), "minhash")
     known = every.filter("n > 0 and doc_id is not null")
     classes = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "classes")
@@ -323,6 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     final = written(components(links), "components")
     of_class = classes.select("f1", "f2", "n", "id", "times").join(final, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", "times", F.coalesce("component", "id").alias("component_id"))
     of_class = written(of_class, "classes")
+    forget(before, every, of_class)
     placed = spread_join(known.select("doc_id", "n", "f1", "f2"), of_class, ["f1", "f2", "n"], "times", None, n_rows).select("doc_id", "n", "component_id")
     rest = every.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = placed.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

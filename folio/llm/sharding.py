@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import written
+from .common import forget, tables, written
 
 BITS = 6
 ACCURACY = 2000
@@ -80,6 +80,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], tie: list[str], shards:
     once and ranks are fixed for all later reads.
     """
     names = [f"dim{i}" for i in range(len(dimensions))]
+    before = tables()
     held = written(df, "rows")
     packed = held.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), *[_value(held, d).alias(n) for n, d in zip(names, dimensions, strict=True)])
     steps = (1 << bits) - 1
@@ -99,6 +100,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], tie: list[str], shards:
     placed = packed.withColumn("hilbert", index(F.struct(*names))).drop(*names)
     order = [F.col("hilbert"), *[F.col(f"row.`{c}`") for c in tie]]
     sorted_ = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "hilbert")
+    forget(before, sorted_)
     part, own = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("own"))  # a row a partition
     every = W.Window.orderBy("part")

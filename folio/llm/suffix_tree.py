@@ -14,6 +14,7 @@ joined with the tree, as rare words always are with their counts. All are double
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as X
-from .common import written
+from .common import forget, tables, written
 
 DEPTH = 6
 #: Nats by which a context must describe its next symbols better than its suffix does, by each kind of next symbol.
@@ -114,6 +115,7 @@ def tree(gram_counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGE
     """The retained tree as rows (level, key, value). level 0 to depth: key is a gram of that many context bytes, value its
     log10 probability. level 64 + l: key is a retained context of l bytes, value log10 of what it leaves to its suffix.
     """
+    before = tables()
     g = {depth: gram_counts.select(F.col("key").alias("gram"), "n")}
     for level in range(depth - 1, -1, -1):
         g[level] = written(g[level + 1].groupBy(F.col("gram").bitwiseAND(_mask(level)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
@@ -141,22 +143,50 @@ def tree(gram_counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGE
     rows = out[0]
     for x in out[1:]:
         rows = rows.unionByName(x)
-    return written(rows, "tree")
+    rows = written(rows, "tree")
+    forget(before, rows)
+    return rows
+
+
+#: Bits of the number of grams whose scores a worker remembers, each in the one place that its hash gives.
+_MEMO = 21
+_NO_GRAM = np.uint64((1 << 64) - 1)
 
 
 class Tree:
     """The tree as arrays; ``value`` has a 0 behind the last, for what is not found."""
 
+    _held: tuple[str, Tree] | None = None
+
     def __init__(self, tagged: np.ndarray, value: np.ndarray, total: int, depth: int):
         self.depth, self.unseen = depth, -np.log10(total + 256)
         self.lookup, self.value = X.Lookup(tagged.view(np.uint64)), value
+        self.known, self.known_p = np.full(1 << _MEMO, _NO_GRAM), np.zeros(1 << _MEMO)
+
+    @classmethod
+    def of(cls, name: str, *arrays) -> Tree:
+        """A worker's tree of this name: built once for all of its tasks."""
+        if cls._held is None or cls._held[0] != name:
+            cls._held = (name, cls(*arrays))
+        return cls._held[1]
 
     @staticmethod
     def _tag(level, key: np.ndarray) -> np.ndarray:
         return (np.asarray(level).astype(np.uint64) << np.uint64(56)) | key.astype(np.uint64)
 
     def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's low byte after the others."""
+        """log10 probability of each gram's low byte after the others. Grams met lately are remembered."""
+        place = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO)).astype(np.int64)
+        out = self.known_p[place]
+        new = np.flatnonzero(self.known[place] != code)
+        if len(new):
+            own, place = code[new], place[new]
+            out[new] = p = self._score(own)
+            # Of several at one place the last stays, in both arrays.
+            self.known[place], self.known_p[place] = own, p
+        return out
+
+    def _score(self, code: np.ndarray) -> np.ndarray:
         out, todo, own = np.zeros(len(code)), np.arange(len(code)), code
         for level in range(self.depth, -1, -1):
             gram = own & np.uint64((1 << 8 * (level + 1)) - 1)
@@ -195,8 +225,10 @@ def _packed(rows: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
             a, b = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i8").tobytes()], pa.binary()), pa.array([b.astype(kind).tobytes()], pa.binary())], names=["a", "b"])
 
-    found = rows.mapInArrow(run, "a binary, b binary").collect()
-    return np.frombuffer(b"".join(r.a for r in found), "<i8"), np.frombuffer(b"".join(r.b for r in found), kind)
+    a, b = [], []
+    for r in rows.coalesce(8).mapInArrow(run, "a binary, b binary").toLocalIterator():
+        a.append(np.frombuffer(r.a, "<i8")), b.append(np.frombuffer(r.b, kind))
+    return np.concatenate([np.empty(0, "<i8"), *a]), np.concatenate([np.empty(0, kind), *b])
 
 
 def _with_zero(tagged: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,13 +275,12 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     counted = written(counts(narrow.filter(~F.col("held_out")), depth), "counts")
     words = counted.filter("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_texts = (counted.filter("kind = 2").agg(F.sum("n")).first()[0]) or 0
+    sums = {r.kind: (r.n, r.k) for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}  # three rows
+    (total, _), (n_words, kinds), (n_texts, _) = (sums.get(k, (0, 0)) for k in range(3))
     train_tokens, distinct = n_words + n_texts, kinds + (n_texts > 0)
     below = float(train_tokens + 1 * (distinct + 1))
     rows = tree(counted.filter("kind = 0"), depth, divergence)
     size = rows.count()
-    total = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     frequent = _packed(_frequent(words, "word", "c", most_words), "<i8")  # most_words rows at most
     whole = size <= most_rows
     if whole:
@@ -258,11 +289,13 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, divergence: flo
         grams_ = _frequent(counted.filter("kind = 0"), "key", "n", most_words).select(F.col("key").alias("gram"))
         known_p = _packed(_joined_scores(grams_, rows, total, depth), "<f8")  # most_words rows at most
     shared = spark.sparkContext.broadcast((frequent[0].view(np.uint64), frequent[1], *known_p))
+    name = uuid.uuid4().hex
+    del frequent, known_p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, c, *known_p = shared.value
         lookup = X.Lookup(word)
-        model = Tree(*known_p, total, depth) if whole else None
+        model = Tree.of(name, *known_p, total, depth) if whole else None
         grams_known = None if whole else X.Lookup(known_p[0].view(np.uint64))
         known_log = np.log10((c + 1) / below)
         end_log = np.log10((n_texts + 1) / below)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import written
+from .common import forget, tables, written
 
 BITS = 17
 #: Bytes at the beginning of a word that count as its stem.
@@ -283,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Crf:
     Rows of ``labels`` with nulls are skipped; of several for one doc_id the largest holds. Of several rows of ``docs`` with
     one doc_id the least text is learned from. Without a toxic label the model finds nothing.
     """
+    before = tables()
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = []
     for kind, most in ((1, bounds.toxic_docs), (0, bounds.clean_docs)):
@@ -302,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Crf:
     seen = tag(for_curve.select("doc_id", "text"), crf).select("doc_id", "expected").join(F.broadcast(chosen), "doc_id").select("expected", "toxic").toPandas()  # a fifth of the sample's rows
     if len(seen):
         crf.curve = _logistic(np.log(seen.expected.to_numpy() + LEAST), seen.toxic.to_numpy(float))
+    forget(before)
     return crf
 
 
