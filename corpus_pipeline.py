@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, minhash, packing, toxicity
-from folio.llm.common import table, written
+from folio.llm.common import forget, remove, table, tables, written
 
 TOXIC_AT = 0.3
 
@@ -76,5 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        last, before = docs, tables()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        forget(before, docs)
+        remove(last)
     return STAGES[-1][1](spark, docs, sf_dir)
