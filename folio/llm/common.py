@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str, DataFrame]] = []
 
 
+#: Bytes of an Arrow batch between the JVM and Python, in place of Spark's default. Both sides hold several at a time outside of any heap.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
+
+
+def modest(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES, unless they have been set already. It changes no result."""
+    if spark.conf.get(_BATCH, None) in _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: later jobs survive lost executors and compute nothing twice."""
     spark = df.sparkSession
+    modest(spark)
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as X
+from .common import modest
 
 RATE = 0.25
 #: Items that are searched for together. A larger benchmark is searched for in blocks, each over all documents.
@@ -163,6 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     texts may be of any length, as bit vectors grow with an item's words; other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
+    modest(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], MATCHES)
     for items in _blocks(benchmark, rate):
@@ -188,6 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     own text: rows without doc_id and repeated ones too. Null and empty texts stay; columns of any name are carried along.
     """
     spark = docs.sparkSession
+    modest(spark)
     if "text" not in docs.columns:
         raise ValueError("no column text")
     schema = docs.schema

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as X
+from .common import modest
 
 
 @dataclass(frozen=True)
@@ -153,6 +154,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tupl
     are ignored; an empty table gives no rows. Score: the largest share of a found template's words, 1 for a phrase.
     """
     phrases = PHRASES if phrases is None else phrases
+    modest(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = vocabulary(phrases, templates)
     idf = -np.log1p(document_frequencies(narrow, words).astype(float))

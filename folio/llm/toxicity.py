@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as X
-from .common import forget, tables, written
+from .common import forget, modest, tables, written
 
 BITS = 17
 #: Bytes at the beginning of a word that count as its stem.
@@ -326,6 +326,7 @@ def tag(docs: DataFrame, crf: Crf, carry: list[str] | None = None) -> DataFrame:
     With ``carry``, those columns of ``docs``, text among them, and as the last one the score instead: a row for each row, with no join.
     Null and empty texts have the lowest score and no spans; repeated rows are scored each; other columns are ignored.
     """
+    modest(docs.sparkSession)
     small = Crf(crf.emit.astype(np.float32), crf.bias, crf.turn, crf.curve)
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(small))  # FEATURES * 2**BITS weights: 3 MB whatever the input
 
