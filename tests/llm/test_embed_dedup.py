@@ -23,9 +23,9 @@ def test_hadamard_keeps_lengths_and_angles():
     assert np.allclose(x @ x.T, y @ y.T, atol=1e-3)
 
 
-@pytest.mark.parametrize(("dim", "width"), [(2, 1), (24, 2), (64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (384, 1), (384, 2), (384, 3), (384, 4), (768, 2), (768, 3), (768, 4), (1024, 3), (1024, 4), (1536, 3)])
+@pytest.mark.parametrize(("dim", "width"), [(2, 1), (24, 2), (64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (384, 2), (384, 3), (384, 4), (768, 3), (768, 4), (1024, 4), (1536, 2)])
 def test_pairs_at_the_limit_meet(dim, width):
-    n = 200 if dim > 64 else 1000
+    n = 150 if dim > 64 else 1000
     x, y = D.pairs_at(dim, 0.9, n, seed=dim + width)
     assert np.allclose((x * y).sum(axis=1), 0.9)
     tables = D.tables_for(dim, width, 0.9)
