@@ -21,7 +21,7 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "
 
 def modest(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to BATCH_BYTES, unless they have been set already. It changes no result."""
-    if spark.conf.get(_BATCH, None) in _DEFAULT:
+    if spark.conf.get(_BATCH) in _DEFAULT:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
