@@ -11,18 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str, DataFrame]] = []
-
-
-#: Bytes of an Arrow batch between the JVM and Python, in place of Spark's default. Both sides hold several at a time outside of any heap.
-BATCH_BYTES = 4 << 20
-_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
+from ..operators.ordered import BATCH_BYTES, modest
 
-
-def modest(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_BYTES, unless they have been set already. It changes no result."""
-    if spark.conf.get(_BATCH) in _DEFAULT:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+assert BATCH_BYTES  # for those who look here for it
+_written: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
