@@ -115,3 +115,76 @@ def test_nothing_to_learn_from(spark):
     got = {r.doc_id: r for r in S.score(df, F.lit(True)).collect()}
     assert got[1].score == pytest.approx(4 * math.log10(1 / 256)) and got[1].train_tokens == 0 and got[2].n_tokens == 1
     assert S.score(df.filter("false"), F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 50, 10**6])
+@pytest.mark.parametrize("depth", [1, 2, 5, 6])
+def test_tree_against_plain_counts(spark, depth, piece):
+    """Contexts beyond NEAR bytes are judged group by group, however the groups are cut into pieces."""
+    n = defaultdict(Counter)
+    for _, text in corpus(20):
+        s = b"\n" * depth + b"".join(w.encode() + b" " for w in words(text)) + b"\n"
+        for i in range(depth, len(s)):
+            for level in range(depth + 1):
+                n[s[i - level : i]][s[i]] += 1
+    kept = {b""}
+    for ctx, own in n.items():
+        if ctx:
+            up, a, b = n[ctx[1:]], sum(own.values()), sum(n[ctx[1:]].values())
+            if sum(v * math.log(v / a / (up[x] / b)) for x, v in own.items()) >= 0.5 * len(own):
+                kept |= {ctx[k:] for k in range(len(ctx))}
+
+    def p(ctx, x):
+        if not ctx:
+            return (n[b""][x] + 1) / (sum(n[b""].values()) + 256)
+        own = n[ctx]
+        return (own[x] + len(own) * p(ctx[1:], x)) / (sum(own.values()) + len(own))
+
+    want = {(len(c), int.from_bytes(c + bytes([x]), "big")): math.log10(p(c, x)) for c in kept for x in n[c]}
+    want |= {(64 + len(c), int.from_bytes(c, "big")): math.log10(len(n[c]) / (sum(n[c].values()) + len(n[c]))) for c in kept if c}
+    counted = S.counts(spark.createDataFrame(corpus(20), "doc_id long, text string"), depth).filter("kind = 0")
+    rows = S.tree(counted, depth, 0.5, piece).collect()
+    got = {(r.level, r.key): r.value for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-11, abs=1e-14) for k in want)
+
+
+def test_the_driver_starts_few_jobs(spark):
+    """A tree of 6 levels, joined level by level, took the driver three jobs a level and more, and the memory of their plans."""
+    sc, group = spark.sparkContext, "jobs of a tree"
+    counted = S.counts(spark.createDataFrame(corpus(60), "doc_id long, text string"))
+    counted.cache().count()
+    before = set(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setJobGroup(group, group)
+    try:
+        S.tree(counted.filter("kind = 0"))
+        assert len(set(sc.statusTracker().getJobIdsForGroup(group)) - before) <= 60
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        counted.unpersist()
+
+
+def test_the_driver_holds_a_table_once(spark):
+    """Its arrays, and beside them no more than one part of a few."""
+    import tracemalloc
+
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=16).selectExpr("id AS key", "id / 2 AS value")
+    tracemalloc.start()
+    try:
+        key, value = S._packed(rows, "<f8", n, 1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 1.5 * 16 * n
+    assert sorted(key) == list(range(n)) and (value[:-1] == key / 2).all() and value[-1] == 0
+
+
+def test_counts_of_billions(spark):
+    """Products of two counts go beyond 63 bits."""
+    n = 4_000_000_000
+    counted = spark.createDataFrame([(0x0A0A61, n), (0x0A6162, n), (0x616263, n)], "key long, n long")
+    for depth in (2, 1):
+        rows = counted if depth == 2 else counted.selectExpr("key & 65535 AS key", "n")
+        got = {(r.level, r.key): r.value for r in S.tree(rows, depth).collect()}
+        assert got[1, 0x6162] == pytest.approx(math.log10((n + n / (3 * n + 256)) / (n + 1)))
